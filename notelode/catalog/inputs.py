@@ -171,3 +171,11 @@ def word_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.sort_array(F.collect_list("t")), " ").alias("question")
     )
 
+
+
+def source_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source its word question with the mean vector of its chunks."""
+    mean = centroids(corpus(spark, sf_dir), "source")
+    return word_questions(spark, sf_dir).join(
+        mean.withColumnRenamed("source", "query_id"), "query_id"
+    )

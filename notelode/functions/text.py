@@ -7,8 +7,10 @@ The engine's contract is defined over Unicode white space and UTF-16 lengths, wh
 from __future__ import annotations
 
 import unicodedata
+from decimal import ROUND_HALF_UP, Decimal
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -142,14 +144,30 @@ def created_at(birth_ms: Column, mtime_ms: Column) -> Column:
     return iso_millis(F.when(known, birth_ms).otherwise(mtime_ms))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Decimal text rounded by the exact binary value, halves away from zero.
+
+    Java's formatter rounds the shortest decimal form instead, which differs near halves.
+    """
+    step = Decimal(1).scaleb(-digits)
+
+    @F.pandas_udf("string")
+    def to_fixed(values: pd.Series) -> pd.Series:
+        return values.map(
+            lambda x: None if pd.isna(x) else str(Decimal(x).quantize(step, ROUND_HALF_UP))
+        )
+
+    return to_fixed(value.cast("double"))
+
+
 def duration_label(ms: Column) -> Column:
     """``12ms``, ``1.50s`` or ``2m3.0s``."""
     minutes = F.floor(ms / 60_000)
     rest = ms / 1000 - minutes * 60
     return (
         F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms")))
-        .when(ms < 60_000, F.format_string("%.2fs", ms.cast("double") / 1000))
-        .otherwise(F.format_string("%dm%.1fs", minutes.cast("long"), rest.cast("double")))
+        .when(ms < 60_000, F.concat(fixed(ms / 1000, 2), F.lit("s")))
+        .otherwise(F.concat(minutes.cast("string"), F.lit("m"), fixed(rest, 1), F.lit("s")))
     )
 
 

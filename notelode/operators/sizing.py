@@ -19,10 +19,14 @@ def small_rows(df: DataFrame, size_of: Column, max_rows: int = MAX_BROADCAST_QUE
 
     The size is measured by an aggregate first, so nothing unbounded reaches the driver.
     """
-    measured = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size_of).alias("bytes")).first()
-    if measured["n"] > max_rows or (measured["bytes"] or 0) > MAX_BROADCAST_BYTES:
-        return None
-    return df.collect()
+    kept = df.persist()
+    try:
+        measured = kept.agg(F.count(F.lit(1)).alias("n"), F.sum(size_of).alias("bytes")).first()
+        if measured["n"] > max_rows or (measured["bytes"] or 0) > MAX_BROADCAST_BYTES:
+            return None
+        return kept.collect()
+    finally:
+        kept.unpersist()
 
 
 def salt_of(key: Column, salts: int = SALTS) -> Column:
