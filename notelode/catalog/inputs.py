@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.markers import BLOCK_END, BLOCK_START
-from ..operators.sizing import top_k
+from ..operators.sizing import spread, top_k
 
 NOW_MS = 1_735_689_600_000
 EPOCH = 1_700_000_000
@@ -15,7 +15,7 @@ HOUR = 3600
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def doc_path() -> Column:

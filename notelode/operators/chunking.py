@@ -273,7 +273,7 @@ def chunk_notes(notes: DataFrame, config: Chunking | None = None) -> DataFrame:
     lines = F.col("lines")
     kinds = F.transform(lines, line_kind)
     letters = F.array_join(kinds, "")
-    costs = F.transform(lines, T.count_tokens)
+    costs = F.transform(F.split(T.plain_spaces(F.col("body")), "\n", -1), T.count_words)
     is_heading = F.filter(lines, lambda line: line.rlike(rf"\A#{{1,6}}[{S}]+{_DOT}*\z"))
     parsed = (
         parse_notes(notes)

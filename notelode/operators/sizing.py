@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_QUERIES = 2048
 MAX_BROADCAST_BYTES = 32 << 20
 SALTS = 32
+# Scans up to this size are spread over all cores.
+MAX_SPREAD_BYTES = 256 << 20
 
 
 def small_rows(df: DataFrame, size_of: Column, max_rows: int = MAX_BROADCAST_QUERIES) -> list[Row] | None:
@@ -29,6 +31,18 @@ def small_rows(df: DataFrame, size_of: Column, max_rows: int = MAX_BROADCAST_QUE
         kept.unpersist()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small scan over all cores.
+
+    A small file is often one row group, which only one task can read. Tables above the limit
+    have splits of their own and are left alone, so nothing large is shuffled for this.
+    """
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    if int(str(stats.sizeInBytes())) > MAX_SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def salt_of(key: Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
 

@@ -109,8 +109,8 @@ class _Best:
         pool = self.pool[0]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(self.q.ids[pool["q"].to_numpy(dtype=int)], pa.string()),
-                pa.array(pool["key"].to_numpy(), pa.string()),
+                pa.array(self.q.ids[pool["q"].to_numpy(dtype=int)].tolist(), pa.string()),
+                pa.array(pool["key"].tolist(), pa.string()),
                 pa.array(pool["score"].to_numpy(dtype=float), pa.float64()),
             ],
             names=["query_id", "key", "score"],
