@@ -76,7 +76,6 @@ def append_block(
     base = F.coalesce(existing, F.lit(""))
     if replace is not None:
         base = drop_blocks(base, replace)["content"]
-    base = trim_end(base)
     block = F.concat(
         F.lit(BLOCK_START + "\n"),
         trim(title),
@@ -84,7 +83,7 @@ def append_block(
         trim(body),
         F.lit("\n" + BLOCK_END + "\n\n"),
     )
-    return F.when(base == "", block).otherwise(F.concat(base, F.lit("\n\n"), block))
+    return F.when(body.isNotNull(), F.concat_ws("\n\n", F.nullif(trim_end(base), F.lit("")), block))
 
 
 def has_user_text(text: Column) -> Column:

@@ -3,6 +3,9 @@
 A client is any picklable object with ``embed(texts, model)`` and ``generate(prompt, model,
 options)``. ``HttpClient`` talks to a model server named by the caller; ``StandIn`` is a
 deterministic replacement without a model, so that every plan can be run and checked offline.
+
+The columns are marked nondeterministic: Spark then neither copies a call into a pushed-down
+filter nor evaluates it twice.
 """
 
 from __future__ import annotations
@@ -115,7 +118,7 @@ def embedding(
                 vectors += [None if v is None else unit_vector(v) for v in padded]
             yield pd.Series(vectors, index=texts.index, dtype=object)
 
-    return embed(text)
+    return embed.asNondeterministic()(text)
 
 
 def response(
@@ -131,7 +134,7 @@ def response(
                 lambda p: None if p is None else client.generate(p, model, settings)
             )
 
-    return generate(prompt)
+    return generate.asNondeterministic()(prompt)
 
 
 def embed_questions(

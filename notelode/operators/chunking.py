@@ -220,7 +220,9 @@ def _plan_udf(config: Chunking):
         kinds: pd.Series, costs: pd.Series, headings: pd.Series, title: pd.Series, fallback: pd.Series
     ) -> pd.DataFrame:
         rows = [
-            plan_note(k, list(map(int, c)), list(h), t or "", f, config)
+            {"title": f, "chunks": []}
+            if k is None
+            else plan_note(k, list(map(int, c)), list(h), t or "", f, config)
             for k, c, h, t, f in zip(kinds, costs, headings, title, fallback)
         ]
         return pd.DataFrame(rows, columns=["title", "chunks"])
@@ -277,11 +279,10 @@ def chunk_notes(notes: DataFrame, config: Chunking | None = None) -> DataFrame:
     is_heading = F.filter(lines, lambda line: line.rlike(rf"\A#{{1,6}}[{S}]+{_DOT}*\z"))
     parsed = (
         parse_notes(notes)
-        .where(F.col("front.error").isNull())
         .withColumn(
             "plan",
             _plan_udf(config)(
-                letters,
+                F.when(F.col("front.error").isNull(), letters),
                 costs,
                 F.transform(is_heading, heading_text),
                 T.trim(F.col("front.title")),
@@ -306,14 +307,20 @@ def chunk_notes(notes: DataFrame, config: Chunking | None = None) -> DataFrame:
             chunk["chunk_type"].alias("chunk_type"),
         ),
     )
-    exploded = parsed.select(
+    # Everything is computed before the explode, so that lines and plans are not copied per chunk;
+    # the outer form keeps Catalyst from inferring a filter that would plan every note twice.
+    whole = parsed.select(
         "file_path",
         F.col("mtime").cast("long").alias("mtime"),
         F.col("plan.title").alias("note_title"),
         note_tags(F.col("front.tag_list"), F.col("front.tag_text")).alias("tags"),
         F.col("front.json").alias("frontmatter"),
-        F.posexplode(built).alias("_at", "c"),
-    ).select("*", "c.*", (F.col("_at") + 1).alias("ordinal"))
+        built.alias("built"),
+    )
+    exploded = whole.select(
+        "file_path", "mtime", "note_title", "tags", "frontmatter",
+        F.posexplode_outer("built").alias("_at", "c"),
+    ).where(F.col("_at").isNotNull()).select("*", "c.*", (F.col("_at") + 1).alias("ordinal"))
     full = exploded.withColumns(
         {
             "chunk_id": chunk_id(F.col("file_path"), F.col("heading_path"), F.col("ordinal")),

@@ -9,7 +9,7 @@ from ..functions import markers as M
 from ..functions import text as T
 from ..functions.vectors import DAY_MS
 from .packing import SEPARATOR
-from .sizing import salted_join, top_k
+from .sizing import hot_join, top_k
 
 # "File: ", "Modified: ", a 24 character time and the line ends: no block is shorter.
 SHORTEST_BLOCK = 44
@@ -54,19 +54,15 @@ def recent_entries(
     is_md = F.lower(F.col("file_path")).endswith(".md")
     recent = (
         notes.where(is_md & (F.col("mtime_ms") >= now_ms - days * DAY_MS))
-        .select(
-            directory.alias("dir"), "file_path", "mtime_ms",
-            entry_text(F.col("markdown")).alias("content"),
-        )
+        .withColumn("content", entry_text(F.col("markdown")))
         .where(F.col("content").isNotNull())
     )
+    # The text is cut to its snippet before anything is shuffled.
+    name, content = T.base_name(F.col("file_path")), F.col("content")
+    block = entry_block(name, F.col("mtime_ms"), content, snippet_chars)
+    blocks = recent.select(directory.alias("dir"), "file_path", "mtime_ms", block.alias("block"))
     order = [F.desc("mtime_ms"), F.asc("file_path")]
-    newest = top_k(recent, ["dir"], order, most, spread="file_path").select(
-        "dir", "rank", "file_path",
-        entry_block(
-            T.base_name(F.col("file_path")), F.col("mtime_ms"), F.col("content"), snippet_chars
-        ).alias("block"),
-    )
+    newest = top_k(blocks, ["dir"], order, most, spread="file_path").drop("mtime_ms")
     newest = newest.withColumn("length", T.utf16_length(F.col("block")))
     # Past this point of a directory's own running total nothing fits, whoever is left out.
     longest = F.max("length").over(Window.partitionBy("dir"))
@@ -78,7 +74,7 @@ def recent_entries(
         F.sort_array(F.collect_list(F.struct("rank", "file_path", "length", "block"))).alias("rows")
     )
     mine = targets.select("file_path").distinct().withColumn("dir", directory)
-    joined = salted_join(mine, per_dir, ["dir"], "file_path")
+    joined = hot_join(mine, per_dir, ["dir"], "file_path")
     others = joined.withColumn(
         "rows", F.filter("rows", lambda row: row["file_path"] != F.col("file_path"))
     )

@@ -19,6 +19,8 @@ from .sizing import MAX_BROADCAST_QUERIES, salted_join, small_rows, top_k
 K1 = 1.2
 B = 0.75
 IDF_FLOOR = 1e-6
+# Up to this many question terms are matched as a literal set inside each row.
+MAX_LITERAL_TERMS = 256
 
 _TOTALS = ""  # stands for the whole corpus beside the real terms, which are never empty
 QUERY_SCHEMA = (
@@ -34,11 +36,17 @@ def index_chunks(chunks: DataFrame) -> DataFrame:
 
 def term_statistics(index: DataFrame) -> DataFrame:
     """Document and corpus frequency of every term."""
-    per_chunk = index.select(F.explode("doc_tokens").alias("term"), "chunk_id")
-    per_chunk = per_chunk.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    return per_chunk.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")
+    # What is needed beside the exploded column is computed first: columns computed afterwards
+    # would carry the whole token array along with every exploded row. The outer form keeps
+    # Catalyst from inferring a filter on the array and tokenizing again for it.
+    sized = index.withColumn("once", F.array_distinct("doc_tokens")).select(
+        F.size("once").alias("distinct"), F.concat("once", "doc_tokens").alias("all")
     )
+    each = sized.select("distinct", F.posexplode_outer("all").alias("at", "term")).where(
+        F.col("at").isNotNull()
+    )
+    once = F.col("at") < F.col("distinct")
+    return each.groupBy("term").agg(F.count_if(once).alias("df"), F.count_if(~once).alias("cf"))
 
 
 def question_words(questions: DataFrame) -> DataFrame:
@@ -84,14 +92,32 @@ def _score(tokens: Column, words: Column, avgdl: Column) -> Column:
     return -F.aggregate(F.transform(words, gain), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _document_frequencies(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Document frequency of the wanted terms, and of the corpus as the term ``_TOTALS``."""
-    terms = index.select(
-        F.explode(F.array_append(F.array_distinct("doc_tokens"), _TOTALS)).alias("term"),
+def _count_terms(index: DataFrame, terms: Column) -> DataFrame:
+    """``term, df, length`` of the array ``terms`` and of the corpus as the term ``_TOTALS``."""
+    sized = index.select(
+        F.array_append(terms, _TOTALS).alias("terms"),
         F.size("doc_tokens").cast("long").alias("length"),
     )
-    counts = F.count(F.lit(1)).alias("df"), F.sum("length").alias("length")
-    return terms.join(wanted, "term", "left_semi").groupBy("term").agg(*counts)
+    return sized.select(F.explode_outer("terms").alias("term"), "length")
+
+
+def _document_frequencies(index: DataFrame, wanted: DataFrame | list[str]) -> DataFrame:
+    """Document frequency of the wanted terms, and of the corpus as the term ``_TOTALS``.
+
+    A short list of terms is intersected inside each row, so only hits are exploded.
+    """
+    if isinstance(wanted, list) and len(wanted) <= MAX_LITERAL_TERMS:
+        literal = F.array(*map(F.lit, wanted)).cast("array<string>")
+        terms = _count_terms(index, F.array_intersect("doc_tokens", literal))
+    else:
+        if isinstance(wanted, list):
+            rows = [(term,) for term in [*wanted, _TOTALS]]
+            wanted = F.broadcast(index.sparkSession.createDataFrame(rows, "term string"))
+        terms = _count_terms(index, F.array_distinct("doc_tokens"))
+        terms = terms.join(wanted, "term", "left_semi")
+    return terms.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("length").alias("length")
+    )
 
 
 def _phrase_frequencies(index: DataFrame, phrases: list[list[str]]) -> dict[tuple[str, ...], int]:
@@ -119,10 +145,7 @@ def _plan_small(
     words = {word for counts in parsed.values() for word in counts}
     terms = sorted({part for word in words for part in word})
     phrases = sorted(word for word in words if len(word) > 1)
-    wanted = spark.createDataFrame([(t,) for t in [*terms, _TOTALS]], "term string")
-    stats = {
-        row["term"]: row for row in _document_frequencies(index, F.broadcast(wanted)).collect()
-    }
+    stats = {row["term"]: row for row in _document_frequencies(index, terms).collect()}
     if _TOTALS not in stats:
         return spark.createDataFrame([], QUERY_SCHEMA), []
     total, length = stats[_TOTALS]["df"], stats[_TOTALS]["length"]

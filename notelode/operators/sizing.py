@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_QUERIES = 2048
 MAX_BROADCAST_BYTES = 32 << 20
 SALTS = 32
+# Join keys with more rows than this are split; there can be at most rows / HOT_ROWS of them.
+HOT_ROWS = 100_000
+MAX_HOT_KEYS = 50_000
 # Scans up to this size are spread over all cores.
 MAX_SPREAD_BYTES = 256 << 20
 
@@ -82,5 +85,30 @@ def salted_join(
     return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
+def hot_join(
+    large: DataFrame, small: DataFrame, on: Sequence[str], spread: str, salts: int = SALTS
+) -> DataFrame:
+    """Inner join that splits only keys with more than ``HOT_ROWS`` rows on the ``large`` side.
+
+    Unlike ``salted_join`` it copies ``small`` rows of hot keys alone, at the price of counting
+    the keys of ``large`` first. Hot keys are few by their definition; were they not, the plain
+    join is left to adaptive execution.
+    """
+    counts = large.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS)
+    rows = small_rows(counts.select(*on), F.lit(64), MAX_HOT_KEYS)
+    if not rows:
+        return large.join(small, list(on))
+    keys = large.sparkSession.createDataFrame(rows, large.select(*on).schema)
+    hot = F.broadcast(keys.withColumn("_hot", F.lit(True)))
+    slices = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    left = large.join(hot, list(on), "left").withColumn(
+        "_salt", F.when(F.col("_hot"), salt_of(F.col(spread), salts)).otherwise(F.lit(0))
+    )
+    right = small.join(hot, list(on), "left").withColumn("_salt", F.explode(slices)).drop("_hot")
+    return left.drop("_hot").join(right, [*on, "_salt"]).drop("_salt")
+
+
 def tiles(rows: int, per_tile: int) -> int:
     return max(1, math.ceil(rows / per_tile))

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Directories that never hold notes.
 SKIPPED_DIRECTORIES = frozenset({".obsidian", ".trash", ".git"})
@@ -99,7 +100,8 @@ def read_notes(listing: DataFrame) -> DataFrame:
                     text = None
                 yield row.assign(markdown=[text])
 
-    return listing.mapInPandas(read, listing.schema.add("markdown", "string"))
+    schema = StructType([*listing.schema.fields, StructField("markdown", StringType())])
+    return listing.mapInPandas(read, schema)
 
 
 def scan_vault(spark: SparkSession, root: str) -> DataFrame:
