@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import pandas as pd
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from .text import SPACE, SPACE_NO_NEWLINE, trim, trim_end
 
 _W = f"[{SPACE_NO_NEWLINE}]*"
-FENCE_PATTERN = rf"\A{_W}---{_W}\n(?:([\s\S]*?)\n)??{_W}---{_W}(?:\n([\s\S]*))?\z"
+# Both fences and what is between them; the body is what follows the match.
+FENCE_PATTERN = rf"\A{_W}---{_W}\n(?:((?s:.*?))\n)??{_W}---{_W}(?:\n|\z)"
 
 FACETS = (
     "struct<json:string,title:string,summary:string,tag_list:array<string>,"
@@ -35,7 +37,9 @@ def fence_source(text: Column) -> Column:
 
 
 def fence_body(text: Column) -> Column:
-    return F.when(has_fence(text), F.regexp_extract(text, FENCE_PATTERN, 2)).otherwise(text)
+    """What follows the frontmatter; the whole text without one."""
+    fence = F.regexp_extract(text, FENCE_PATTERN, 0)
+    return F.substr(text, F.length(fence) + 1)
 
 
 class _CoreLoader(yaml.SafeLoader):
@@ -54,9 +58,7 @@ for _tag, _pattern, _first in (
         list("-+.0123456789"),
     ),
 ):
-    import re as _re
-
-    _CoreLoader.add_implicit_resolver(f"tag:yaml.org,2002:{_tag}", _re.compile(_pattern), _first)
+    _CoreLoader.add_implicit_resolver(f"tag:yaml.org,2002:{_tag}", re.compile(_pattern), _first)
 
 
 def _construct_int(loader: yaml.SafeLoader, node: yaml.ScalarNode) -> int:
