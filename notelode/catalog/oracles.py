@@ -675,3 +675,183 @@ SELECT path AS file_path, 'updated' AS status, NULL::VARCHAR AS message,
        '---'||chr(10)||'title: '||CASE WHEN quality IS NULL THEN title ELSE '"'||title||'"' END||chr(10)||'created: '||{CREATED}
        ||chr(10)||'---'||chr(10)||{reply(REWORK_PROMPT)}||chr(10) AS new_markdown
 FROM cleaned"""
+
+# --- plans with model calls: the stand-in's embedding and responses are SQL as well --------------
+
+
+def stand_in_vectors(name: str, texts: str) -> str:
+    """CTEs ending in ``name(id, vector)`` for ``texts(id, t)``: hashed bag of words, unit length."""
+    return f"""
+{name}_texts AS ({texts}),
+{name}_slots AS (
+  SELECT id, ('0x'||substr(h, 1, 8))::BIGINT % 64 AS slot,
+         sum(CASE WHEN contains('13579bdf', substr(h, 10, 1)) THEN 1 ELSE -1 END)::DOUBLE AS v
+  FROM (SELECT id, sha1(unnest({words('lower(t)')})) AS h FROM {name}_texts) GROUP BY ALL),
+{name}_raw AS (
+  SELECT i.id, list(coalesce(v, 0) ORDER BY r.range) AS vec
+  FROM (SELECT DISTINCT id FROM {name}_texts) i CROSS JOIN range(64) r
+  LEFT JOIN {name}_slots s ON s.id = i.id AND s.slot = r.range GROUP BY i.id),
+{name} AS (
+  SELECT id, CASE WHEN sqrt(list_inner_product(vec, vec)) > 0
+                  THEN list_transform(vec, lambda x: x/sqrt(list_inner_product(vec, vec))) ELSE vec END AS vector
+  FROM {name}_raw)"""
+
+
+def collapsed(x: str) -> str:
+    """What is left of a note in which no block was replaced."""
+    return rtrim(
+        f"CASE WHEN contains({x}, '{BLOCK_START}') THEN regexp_replace({x}, '\\n{{3,}}', chr(10)||chr(10), 'g') ELSE {x} END"
+    )
+
+
+def block(title: str, reply_sql: str) -> str:
+    return f"{text(chr(10)*2 + BLOCK_START + chr(10) + title + chr(10)*2)}||{STAMP}||{reply_sql}||{text(chr(10) + BLOCK_END + chr(10)*2)}"
+
+
+def related_lists(vectors: str) -> str:
+    """CTE ``related_lists(id, context)``: the five closest source files as lines."""
+    return f"""
+related_best AS (
+  SELECT v.id, c.file_path AS path, max(round(list_cosine_similarity(c.emb, v.vector), 12)) AS score
+  FROM {vectors} v, corpus c GROUP BY ALL),
+related_ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, path) AS rank FROM related_best),
+related_lists AS (
+  SELECT id, string_agg(rank||'. [['||regexp_replace(path, '\\.md$', '')||']] (score '||printf('%.1f', score*100)||'%)',
+                        chr(10) ORDER BY rank) AS context
+  FROM related_ranked WHERE rank <= 5 GROUP BY id)"""
+
+
+RELATED_PROMPT = render(P.related, {"title": "doc_id||'.md'", "context": "context"})
+ORACLES["related_notes"] = f"""
+WITH {RICH}, {CLEANED}, {CORPUS},
+{stand_in_vectors('note_vectors', 'SELECT path AS id, substr(cleaned, 1, 4000) AS t FROM cleaned WHERE length(cleaned) >= 200')},
+{related_lists('note_vectors')}
+SELECT path AS file_path, CASE WHEN context IS NULL THEN 'skipped' ELSE 'updated' END AS status,
+       CASE WHEN context IS NULL THEN 'Note only has '||length(cleaned)||' characters (< 200); skipping related content.' END AS message,
+       CASE WHEN context IS NOT NULL THEN {collapsed('markdown')}||{block('AI Related Content', reply(RELATED_PROMPT))} END AS new_markdown
+FROM cleaned LEFT JOIN related_lists r ON r.id = path"""
+
+SUMMARIZED = ORACLES["summarize_notes"].split("SELECT path AS file_path", 1)[0]
+ENRICH_TAG_PROMPT = render(P.tagging, {"title": "path", "context": "tag_text", "tag_limit": "'6'"})
+ORACLES["enrich_notes"] = f"""{SUMMARIZED.rstrip()},
+one AS (
+  SELECT *, length(cleaned) >= 200 AS summary,
+         CASE WHEN length(cleaned) >= 200 THEN base||{block('AI Summary', 'reply')} ELSE markdown END AS text1
+  FROM replied),
+two AS (
+  SELECT *, substr(text1, length(front) + 1) AS body1,
+         {trim('(' + strip('substr(text1, length(front) + 1)') + ')')} AS tag_text FROM one),
+three AS (
+  SELECT *, length(tag_text) >= 120 AS tags,
+         CASE WHEN length(tag_text) >= 120 THEN '---'||chr(10)
+           ||CASE WHEN quality IS NULL THEN 'title: Note '||doc_id||chr(10) WHEN quality = 0 THEN 'summary: Short'||chr(10) ELSE '' END
+           ||'tags:'||chr(10)||CASE WHEN quality IS NULL OR quality = 0 THEN '  - "#'||lang||'"'||chr(10) ELSE '' END
+           ||CASE WHEN quality IS NULL THEN '  - "#'||source||'"'||chr(10) ELSE '' END
+           ||'  - "#'||replace({reply(ENRICH_TAG_PROMPT)}, ' ', '-')||'"'||chr(10)||'---'||chr(10)||body1
+         ELSE text1 END AS text2 FROM two),
+four AS (SELECT *, {trim('(' + strip('text2') + ')')} AS cleaned2 FROM three),
+{CORPUS},
+{stand_in_vectors('note_vectors', 'SELECT path AS id, substr(cleaned2, 1, 4000) AS t FROM four WHERE length(cleaned2) >= 200')},
+{related_lists('note_vectors')},
+five AS (
+  SELECT *, context IS NOT NULL AS related,
+         CASE WHEN context IS NOT NULL THEN {collapsed('text2')}||{block('AI Related Content', reply(RELATED_PROMPT))} ELSE text2 END AS text3
+  FROM four LEFT JOIN related_lists r ON r.id = path)
+SELECT path AS file_path, CASE WHEN summary OR tags OR related THEN 'updated' ELSE 'skipped' END AS status,
+       'summary='||CASE WHEN summary THEN 'updated' ELSE 'skipped' END||' tags='||CASE WHEN tags THEN 'updated' ELSE 'skipped' END
+       ||' related='||CASE WHEN related THEN 'updated' ELSE 'skipped' END AS message,
+       CASE WHEN summary OR tags OR related THEN text3 END AS new_markdown FROM five"""
+
+CONTEXT_ROWS = f"{HEAD}||chr(10)||content, {text(chr(10)*2 + '---' + chr(10)*2)} ORDER BY label"
+TODAY = truncate("cleaned", 4000)
+JOURNAL_PROMPT = render(
+    P.journal,
+    {
+        "path": "path", "title": "title", "today_entry": "today", "history_days": "'30'",
+        "recent_entries": "coalesce(recent, 'No other journal entries found in the last month.')",
+        "knowledge_context": "coalesce(knowledge, 'No indexed context available.')",
+    },
+)
+ORACLES["journal_notes"] = f"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, 'conv'||conv_id||'/turn'||turn||'.md' AS path, 'turn'||turn AS title,
+         ({NOW_MS} - turn*604800000 - conv_id)::BIGINT AS ms,
+         CASE WHEN role = 'assistant' THEN '{BLOCK_START}'||chr(10)||text||chr(10)||'{BLOCK_END}' ELSE text END AS markdown,
+         CASE WHEN role = 'assistant' THEN '' ELSE {trim('text')} END AS cleaned,
+         CASE WHEN {trim('text')} <> '' THEN CASE WHEN role = 'assistant' THEN 'Prior AI reflections:' ELSE 'User entry:' END
+              ||chr(10)||chr(10)||{trim('text')} END AS content FROM conversations),
+blocks AS (
+  SELECT *, 'File: turn'||turn||'.md'||chr(10)||'Modified: '||{iso('ms')}||chr(10)||chr(10)||{truncate('content', 1500)} AS block
+  FROM turns WHERE content IS NOT NULL AND ms >= {NOW_MS} - 30*86400000::BIGINT),
+run AS (
+  SELECT t.path, b.block, b.ms, b.path AS other,
+         sum(length(b.block)) OVER (PARTITION BY t.path ORDER BY b.ms DESC, b.path) AS total
+  FROM turns t JOIN blocks b ON b.conv_id = t.conv_id AND b.path <> t.path),
+history AS (
+  SELECT path, string_agg(block, {text(chr(10)*2 + '---' + chr(10)*2)} ORDER BY ms DESC, other) AS recent
+  FROM run WHERE total <= 12000 GROUP BY path),
+ready AS (SELECT *, CASE WHEN length(cleaned) >= 200 THEN {TODAY} END AS today FROM turns),
+asked AS (SELECT path AS query_id, title||chr(10)||today AS question FROM ready WHERE today IS NOT NULL),
+{stand_in_vectors('asked_vectors', 'SELECT query_id AS id, question AS t FROM asked')},
+jq AS (SELECT query_id, question, vector FROM asked JOIN asked_vectors ON id = query_id),
+{hybrid('jq', CORPUS)},
+{packed('SELECT f.query_id, f.chunk_id, f.rank, c.tokens FROM final f JOIN corpus c ON c.chunk_id = f.chunk_id')},
+known AS (SELECT query_id, string_agg({CONTEXT_ROWS}) AS knowledge
+          FROM packed p JOIN corpus c ON c.chunk_id = p.chunk_id GROUP BY query_id),
+full_rows AS (SELECT r.*, recent, knowledge FROM ready r LEFT JOIN history h ON h.path = r.path LEFT JOIN known k ON k.query_id = r.path)
+SELECT path AS file_path, CASE WHEN today IS NULL THEN 'skipped' ELSE 'updated' END AS status,
+       CASE WHEN today IS NULL THEN 'Note only has '||length(cleaned)||' characters (< 200); skipping journal reflection.' END AS message,
+       CASE WHEN today IS NOT NULL THEN {collapsed('markdown')}||{block('AI Journal Reflection', reply(JOURNAL_PROMPT))} END AS new_markdown
+FROM full_rows"""
+
+_CTE_NAMES = (
+    "vec|d|corpus_stats|tf|df|idf|qt|qn|matched|lex_all|lex|kept|fused|capped|pool|picks|final|seq|fold|packed"
+)
+
+
+def renamed(sql: str, suffix: str) -> str:
+    """A second copy of a pipeline's CTEs in the same statement."""
+    return re.sub(rf"(?<![\w'])({_CTE_NAMES})(?![\w'(])", rf"\1_{suffix}", sql)
+
+
+PACK_MERGED = "SELECT m.query_id, m.chunk_id, m.rank, c.tokens FROM {0} m JOIN corpus c ON c.chunk_id = m.chunk_id"
+
+
+def merged(name: str, base: str, extra: str) -> str:
+    return f"""
+{name} AS (
+  SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS rank
+  FROM (SELECT query_id, chunk_id, max(score) AS score, min(seen) AS seen FROM (
+          SELECT query_id, chunk_id, score, rank AS seen FROM ({base})
+          UNION ALL SELECT query_id, chunk_id, score, 1000000 + rank FROM ({extra})) GROUP BY ALL))"""
+
+
+def context_cte(name: str, packs: str) -> str:
+    return f"""
+{name} AS (
+  SELECT query_id, string_agg({CONTEXT_ROWS}) AS context, string_agg({HEAD}, chr(10) ORDER BY label) AS lines,
+         count(*) AS cited FROM {packs} p JOIN corpus c ON c.chunk_id = p.chunk_id GROUP BY query_id)"""
+
+
+REWRITE = render(P.query_rewrite, {"question": "text"})
+GAP = render(P.iterative_gap, {"question": "text", "context": "context"})
+QA = render(P.qa, {"question": "text", "context": f"(context||{text(chr(10)*2 + 'Citations:' + chr(10))}||lines)"})
+ORACLES["answer_questions"] = f"""
+WITH RECURSIVE first_wave AS (
+  SELECT item_id::VARCHAR AS query_id, text AS question FROM benchmark
+  UNION ALL SELECT item_id||'#rewrite', {reply(REWRITE)} FROM benchmark),
+{stand_in_vectors('wave_vectors', 'SELECT query_id AS id, question AS t FROM first_wave')},
+q1 AS (SELECT query_id, question, vector FROM first_wave JOIN wave_vectors ON id = query_id),
+{hybrid('q1', CORPUS)},
+{merged('m1', "SELECT * FROM final WHERE NOT contains(query_id, '#')", "SELECT split_part(query_id, '#', 1) AS query_id, chunk_id, score, rank FROM final WHERE contains(query_id, '#')")},
+{packed(PACK_MERGED.format('m1'))},
+{context_cte('c1', 'packed')},
+second_wave AS (SELECT query_id, {reply(GAP)} AS question FROM c1 JOIN benchmark ON item_id::VARCHAR = query_id),
+{stand_in_vectors('gap_vectors', 'SELECT query_id AS id, question AS t FROM second_wave')},
+q2 AS (SELECT query_id, question, vector FROM second_wave JOIN gap_vectors ON id = query_id),
+{renamed(hybrid('q2', '').lstrip().removeprefix(','), 'b')},
+{merged('m2', 'SELECT * FROM m1', 'SELECT * FROM final_b')},
+{renamed(packed(PACK_MERGED.format('m2')), 'b')},
+{context_cte('c2', 'packed_b')}
+SELECT query_id, {reply(QA)} AS answer, context, cited FROM c2 JOIN benchmark ON item_id::VARCHAR = query_id"""
