@@ -616,7 +616,7 @@ OLD_CHUNKS = plain_chunks(OLD_SOURCE).replace("plain AS", "old_plain AS").replac
 INDEX = f"WITH {plain_chunks(DOC_SOURCE)}, {OLD_CHUNKS}"
 ORACLES["index_reuse"] = f"""{INDEX}
 SELECT c.chunk_id, c.file_path, coalesce(s.content_hash = c.content_hash, FALSE) AS reused,
-       CASE WHEN s.content_hash = c.content_hash THEN 2::BIGINT END AS dimensions
+       CASE WHEN s.content_hash = c.content_hash THEN 2 ELSE 0 END::BIGINT AS dimensions
 FROM chunks c LEFT JOIN stored s ON s.chunk_id = c.chunk_id"""
 ORACLES["index_stale"] = f"""{INDEX}
 SELECT chunk_id, file_path FROM stored WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks)"""

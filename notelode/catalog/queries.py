@@ -600,7 +600,8 @@ def index_reuse(spark, sf_dir):
     """Fresh chunks and whether the stored embedding can be kept."""
     matched = indexing.match_chunks(_fresh(spark, sf_dir), _stored_chunks(spark, sf_dir))
     return matched.select(
-        "chunk_id", "file_path", "reused", F.size("embedding").cast("long").alias("dimensions")
+        "chunk_id", "file_path", "reused",
+        F.when(F.col("reused"), F.size("embedding")).otherwise(0).cast("long").alias("dimensions"),
     )
 
 

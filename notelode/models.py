@@ -104,18 +104,19 @@ def embedding(
 ) -> Column:
     """Unit-length embedding of a text column, ``batch_size`` texts per call, three attempts.
 
-    A text for which the client returns nothing gives null.
+    Null texts are not sent; a text for which the client returns nothing gives null.
     """
 
     @F.pandas_udf("array<double>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            vectors: list = []
-            for at in range(0, len(texts), batch_size):
-                part = list(texts.iloc[at : at + batch_size])
-                found = _with_retries(client, part, model, pause)
-                padded = [*found, *[None] * (len(part) - len(found))]
-                vectors += [None if v is None else unit_vector(v) for v in padded]
+            vectors: list = [None] * len(texts)
+            wanted = [at for at, text_ in enumerate(texts) if text_ is not None]
+            for start in range(0, len(wanted), batch_size):
+                slots = wanted[start : start + batch_size]
+                found = _with_retries(client, [texts.iloc[at] for at in slots], model, pause)
+                for at, vector in zip(slots, found):
+                    vectors[at] = None if vector is None else unit_vector(vector)
             yield pd.Series(vectors, index=texts.index, dtype=object)
 
     return embed.asNondeterministic()(text)
