@@ -7,7 +7,6 @@ are then checked against the rest; common words never fan out into postings.
 from __future__ import annotations
 
 from collections import Counter
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,21 +119,20 @@ def _document_frequencies(index: DataFrame, wanted: DataFrame | list[str]) -> Da
     )
 
 
-def _phrase_frequencies(index: DataFrame, phrases: list[list[str]]) -> dict[tuple[str, ...], int]:
-    if not phrases:
+def _phrase_frequencies(
+    index: DataFrame, probes: dict[tuple[str, ...], str]
+) -> dict[tuple[str, ...], int]:
+    """Document frequency of phrases, looked for where their rarest part (the value) occurs."""
+    if not probes:
         return {}
-    options = reduce(
-        lambda acc, p: F.array_append(acc, F.array(*map(F.lit, p))),
-        phrases,
-        F.array().cast("array<array<string>>"),
+    rows = [(probe, list(parts)) for parts, probe in probes.items()]
+    phrases = index.sparkSession.createDataFrame(rows, "probe string, parts array<string>")
+    near = _candidates_small(index, phrases, sorted(set(probes.values())))
+    found = near.where(
+        (F.size(F.array_except("parts", "doc_tokens")) == 0)
+        & (_occurrences(F.col("doc_tokens"), F.col("parts")) > 0)
     )
-    tokens = F.col("doc_tokens")
-    found = F.filter(
-        options,
-        lambda p: (F.size(F.array_except(p, tokens)) == 0) & (_occurrences(tokens, p) > 0),
-    )
-    rows = index.select(F.explode(found).alias("phrase")).groupBy("phrase").count().collect()
-    return {tuple(row["phrase"]): row["count"] for row in rows}
+    return {tuple(r["parts"]): r["count"] for r in found.groupBy("parts").count().collect()}
 
 
 def _plan_small(
@@ -144,20 +142,23 @@ def _plan_small(
     parsed = {row["query_id"]: Counter(tuple(word) for word in row["words"]) for row in rows}
     words = {word for counts in parsed.values() for word in counts}
     terms = sorted({part for word in words for part in word})
-    phrases = sorted(word for word in words if len(word) > 1)
     stats = {row["term"]: row for row in _document_frequencies(index, terms).collect()}
     if _TOTALS not in stats:
         return spark.createDataFrame([], QUERY_SCHEMA), []
     total, length = stats[_TOTALS]["df"], stats[_TOTALS]["length"]
     df = {(term,): row["df"] for term, row in stats.items() if term}
-    df.update(_phrase_frequencies(index, [list(p) for p in phrases]))
+
+    def rarest(parts: tuple[str, ...]) -> str:
+        return min(parts, key=lambda term: (df[(term,)], term))
+
+    known = [w for w in words if len(w) > 1 and all((part,) in df for part in w)]
+    df.update(_phrase_frequencies(index, {w: rarest(w) for w in known}))
     plans = []
     for query_id, counts in parsed.items():
         if any(word not in df for word in counts):
             continue
         singles = sorted({part for word in counts for part in word})
-        probe = min(singles, key=lambda term: (df[(term,)], term))
-        plans.append((query_id, probe, singles, [list(w) for w in counts if len(w) > 1],
+        plans.append((query_id, rarest(tuple(singles)), singles, [list(w) for w in counts if len(w) > 1],
                       [(list(w), n, df[w]) for w, n in sorted(counts.items())]))
     raw = spark.createDataFrame(
         plans,

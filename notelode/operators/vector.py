@@ -31,7 +31,10 @@ class _Questions:
 
     def __init__(self, ids: list[str], vectors: list, skip: list[str | None]):
         self.ids = np.array(ids, dtype=object)
-        self.skip = np.array(skip, dtype=object)
+        self.skip: dict[str, list[int]] = {}
+        for number, key in enumerate(skip):
+            if key is not None:
+                self.skip.setdefault(key, []).append(number)
         lengths = np.array([0 if v is None else len(v) for v in vectors], dtype=int)
         self.blocks = [
             (members, np.array([vectors[i] for i in members], dtype=float).reshape(len(members), n))
@@ -82,7 +85,9 @@ class _Best:
             order = np.argsort(codes, kind="stable")
             edges = np.flatnonzero(np.diff(codes[order], prepend=-1))
             scores = np.maximum.reduceat(scores[order], edges, axis=0)
-            scores[names[:, None] == self.q.skip[None, :]] = -np.inf
+            for row, name in enumerate(names):
+                if name in self.q.skip:
+                    scores[row, self.q.skip[name]] = -np.inf
         cut = self.floor
         if len(scores) > self.k:
             nth = len(scores) - self.k
