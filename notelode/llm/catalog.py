@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL counterparts."""
 
-from . import near_dup
+from . import near_dup, toxicity
 
-MODULES = (near_dup,)
+MODULES = (toxicity, near_dup)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}

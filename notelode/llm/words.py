@@ -23,6 +23,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+# Letters and digits only; all bytes beyond ASCII count as letters.
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[128:] = LETTERS[48:58] = LETTERS[65:91] = LETTERS[97:123] = True
 # Odd multipliers that give the place in an n-gram its weight.
 PLACES = np.array(
     [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3,
@@ -80,9 +83,10 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[edges[0] : edges[-1]], edges - edges[0]
 
 
-def words(data: np.ndarray, edges: np.ndarray, fold: bool = True) -> Words:
+def words(data: np.ndarray, edges: np.ndarray, fold: bool = True, kept: np.ndarray = _IS_WORD) -> Words:
+    """Words of texts given as bytes; ``kept`` says which bytes belong to words."""
     n = len(data)
-    inside = _IS_WORD[data]
+    inside = kept[data]
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
     before[edges[:-1][edges[:-1] < n]] = False
