@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from ..operators.lineage import cut
 
 MAX_ROUNDS = 60
+# A task holds about so many edges; small edge tables are then not spread over many tiny files.
+TASK_EDGES = 50_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
     least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
     moved = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
-    return moved.where("x != y").distinct()
+    return moved.where("x != y").coalesce(tasks).distinct().coalesce(tasks)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     least = edges.groupBy("x").agg(F.min("y").alias("m"))
     moved = edges.join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
-    return moved.unionByName(least.select("x", F.col("m").alias("y"))).where("x != y").distinct()
+    known = least.select("x", F.col("m").alias("y"))
+    return moved.unionByName(known).where("x != y").coalesce(tasks).distinct().coalesce(tasks)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -44,7 +47,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        current = cut(_small_star(_large_star(current)))
+        tasks = 1 + before[0] // TASK_EDGES
+        current = cut(_small_star(_large_star(current.coalesce(tasks), tasks), tasks))
         after = state(current)
         if after == before:
             break
