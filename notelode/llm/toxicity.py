@@ -1,8 +1,8 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are 64-bit hashes of single words, word pairs and pairs with one word left out; a
-feature counts once for a text, so long texts are not judged by their length. Only features seen
-in ``MIN_TEXTS`` training texts or more get a coordinate. Every shard of the training rows runs
+feature counts once for a text, so long texts are not judged by their length. Only features that
+shards see twice or more, and all shards in ``MIN_TEXTS`` texts or more, get a coordinate. Every shard of the training rows runs
 FTRL-proximal with its own per-coordinate rates from the common state; after a round the states
 are averaged by an aggregate over coordinates. The L1 term leaves few weights other than zero,
 and those alone are shipped to the scoring pass, which reads every text once and moves none.
@@ -61,26 +61,49 @@ def features(data: np.ndarray, edges: np.ndarray) -> list[tuple[np.ndarray, np.n
     return out
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct features of labelled texts."""
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Each batch with the distinct features of its texts, row by row."""
     for batch in batches:
+        own = []
         for at, to, data, edges in slices(batch.column("text")):
             parts = features(data, edges)
             grams = np.concatenate([g for g, _ in parts])
             owner = np.concatenate([o for _, o in parts])
             order = np.argsort(owner, kind="stable")
             bounds = np.searchsorted(owner[order], np.arange(to - at + 1))
-            own = [np.unique(grams[order[bounds[i] : bounds[i + 1]]]).astype(np.int64) for i in range(to - at)]
-            ends = np.r_[0, np.cumsum([len(x) for x in own])].astype(np.int32)
+            own += [np.unique(grams[order[bounds[i] : bounds[i + 1]]]).astype(np.int64) for i in range(to - at)]
+        yield batch, own
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features that a shard sees in two texts or more, with their numbers of texts."""
+    own = [x for _, rows in _distinct(batches) for x in rows]
+    if own:
+        keys, n = np.unique(np.concatenate(own), return_counts=True)
+        kept = np.flatnonzero(n > 1)
+        for at in range(0, len(kept), 100_000):
+            some = kept[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(n[some])], names=["key", "n"])
+
+
+def _rows(keys):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Labelled texts as lists of coordinates, the intercept last."""
+        known = keys.value
+        for batch, own in _distinct(batches):
+            rows = []
+            for grams in own:
+                at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                rows.append(np.r_[at[known[at] == grams], len(known)].astype(np.int32))
+            ends = np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int32)
+            values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(at, to - at),
-                    batch.column("label").slice(at, to - at),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own))),
-                ],
-                names=["doc_id", "label", "features"],
+                [batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
+                names=["doc_id", "label", "own"],
             )
 
+    return run
+
 
 def weights_of(z: np.ndarray, n: np.ndarray, rates: Rates) -> np.ndarray:
     shrunk = np.sign(z) * np.maximum(np.abs(z) - rates.l1, 0)
@@ -98,26 +121,20 @@ def ftrl(rows: list[tuple[np.ndarray, float]], z: np.ndarray, n: np.ndarray, rat
         n[own] = ni + gradient * gradient
 
 
-def _shard(keys, state, rates: Rates, seed: int):
+def _shard(state, rates: Rates, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = keys.value
         z, n = (x.copy() for x in state.value)
         rows, ids = [], []
         for batch in batches:
-            column = batch.column("features")
-            grams, edges = column.values.to_numpy(), column.offsets.to_numpy()
-            at = np.searchsorted(known, grams)
-            hit = known[np.minimum(at, len(known) - 1)] == grams
-            for i, (doc, label) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist())):
-                own = slice(edges[i], edges[i + 1])
-                rows.append((np.r_[at[own][hit[own]], len(known)], float(label)))
-                ids.append(doc)
+            column = batch.column("own")
+            at, edges = column.values.to_numpy(), column.offsets.to_numpy()
+            ids += batch.column("doc_id").to_pylist()
+            rows += [(at[i:j], label) for i, j, label in zip(edges, edges[1:], batch.column("label").to_pylist())]
         if not rows:
             return
         # The order depends on the rows alone, so a task that is run again gives the same state.
-        order = np.random.default_rng(seed).permutation(len(rows))
-        rank = np.argsort(np.array(ids))
-        ftrl([rows[rank[i]] for i in order], z, n, rates)
+        order = np.argsort(np.array(ids), kind="stable")[np.random.default_rng(seed).permutation(len(rows))]
+        ftrl([rows[i] for i in order], z, n, rates)
         moved = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays(
             [pa.array(moved), pa.array(z[moved]), pa.array(n[moved])], names=["at", "z", "n"]
@@ -150,26 +167,23 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rates: Rate
     """
     spark = docs.sparkSession
     chosen = labelled(labels, column, max_rows)
-    rows = cut(
-        texts(docs).join(F.broadcast(chosen), "doc_id").repartition(SHARDS, "doc_id")
-        .mapInArrow(_rows, "doc_id long, label double, features array<long>")
-    )
-    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("ones")).first()
+    sampled = cut(texts(docs).join(F.broadcast(chosen), "doc_id").repartition(SHARDS, "doc_id"))
+    seen = sampled.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("ones")).first()
     none = np.zeros(0)
     if seen["ones"] in (0, seen["n"]):
         share = min(max(seen["ones"] / max(seen["n"], 1), 1e-12), 1 - 1e-12)
         return Model(none.astype(np.int64), none, float(np.log(share / (1 - share))))
-    counts = rows.select(F.explode("features").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counts = sampled.mapInArrow(_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     common = counts.where(F.col("n") >= MIN_TEXTS).orderBy(F.desc("n"), "key").limit(MAX_FEATURES).select("key")
     keys = np.sort(common.toPandas()["key"].to_numpy(np.int64))
     if not len(keys):
         share = seen["ones"] / seen["n"]
         return Model(none.astype(np.int64), none, float(np.log(share / (1 - share))))
     z, n = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
-    shipped = spark.sparkContext.broadcast(keys)
+    rows = cut(sampled.mapInArrow(_rows(spark.sparkContext.broadcast(keys)), "doc_id long, label double, own array<int>"))
     for round_ in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
-        moved = rows.mapInArrow(_shard(shipped, state, rates, round_), "at long, z double, n double")
+        moved = rows.mapInArrow(_shard(state, rates, round_), "at long, z double, n double")
         mean = moved.groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()
         z, n = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
         z[mean["at"]], n[mean["at"]] = mean["z"], mean["n"]
