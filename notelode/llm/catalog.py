@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL counterparts."""
 
-from . import decontaminate, near_dup, toxicity
+from . import decontaminate, near_dup, pii, toxicity
 
-MODULES = (toxicity, near_dup, decontaminate)
+MODULES = (toxicity, near_dup, decontaminate, pii)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
