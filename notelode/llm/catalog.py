@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL counterparts."""
 
-from . import chat, decontaminate, near_dup, pii, toxicity
+from . import chat, decontaminate, embedding_dedup, near_dup, pii, toxicity
 
-MODULES = (toxicity, near_dup, decontaminate, pii, chat)
+MODULES = (toxicity, near_dup, decontaminate, pii, chat, embedding_dedup)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
