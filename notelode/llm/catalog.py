@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL counterparts."""
 
-from . import chat, decontaminate, embedding_dedup, near_dup, pii, toxicity, url_rules, warc
+from . import chat, decontaminate, embedding_dedup, near_dup, pii, quality, toxicity, url_rules, warc
 
-MODULES = (toxicity, near_dup, decontaminate, pii, chat, embedding_dedup, url_rules, warc)
+MODULES = (toxicity, near_dup, decontaminate, pii, chat, quality, embedding_dedup, url_rules, warc)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}

@@ -95,14 +95,20 @@ def words(data: np.ndarray, edges: np.ndarray, fold: bool = True, kept: np.ndarr
     after[edges[1:][edges[1:] > 0] - 1] = False
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
+    hashes = hash_spans(_LOWER[data] if fold else data, start, end)
+    return Words(hashes, np.searchsorted(start, edges), start, end, data, edges)
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings ``data[start:end]``; equal strings have equal hashes."""
+    n = len(data)
     power, inverse = _power(n + 1)
     total = np.zeros(n + 1, U64)
-    folded = (_LOWER[data] if fold else data).astype(U64)
-    folded += U64(1)
-    folded *= power[:n]
-    np.cumsum(folded, out=total[1:])
-    hashes = mix((total[end] - total[start]) * inverse[start])
-    return Words(hashes, np.searchsorted(start, edges), start, end, data, edges)
+    terms = data.astype(U64)
+    terms += U64(1)
+    terms *= power[:n]
+    np.cumsum(terms, out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start])
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
