@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
 from ..shipping import ship
 
 
@@ -18,6 +19,7 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def bytes_of(parquet_rows: DataFrame, column: str) -> int:
-    """Bytes of a text column, counted by the executors."""
-    return parquet_rows.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+def measured(df: DataFrame, most: int) -> DataFrame:
+    """``df``, marked for a broadcast if it has at most ``most`` rows; beyond that Spark joins as it sees fit."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= most else kept

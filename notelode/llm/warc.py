@@ -37,7 +37,7 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share, below the checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid4().hex}"
+    return f"{spark.sparkContext.getCheckpointDir()}/work-{uuid4().hex}"
 
 
 def _header(name: str, value: Column) -> Column:
