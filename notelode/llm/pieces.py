@@ -36,7 +36,7 @@ VARIANTS = 4
 LONG_CHUNK = 64
 # Characters of one step; a longer text is a step of its own.
 SLICE_CHARS = 1 << 21
-NO_RANK = np.int64(1) << 62
+NO_RANK = np.int32(2**31 - 1)
 DEFAULT_FILE = "piece_bpe_32k.model"
 
 
@@ -85,7 +85,7 @@ def load(path: str) -> Vocabulary:
         (symbol[p[:k]] << 20 | symbol[p[k:]], i, ranked[i])
         for i, p in piece.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol
     ]
-    keys, merged, ranks = (np.array(x, np.int64) for x in zip(*sorted(pairs)))
+    keys, merged, ranks = (np.array(x, kind) for x, kind in zip(zip(*sorted(pairs)), (np.int64, np.int32, np.int32)))
     byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
     if not all(model.is_byte(int(i)) for i in byte_ids):
         raise ValueError("the model has no byte pieces")
@@ -118,44 +118,48 @@ class Encoder:
             some = np.flatnonzero(found)
             span = (start[some].astype(U64) * PLACES[0]) ^ (middle[some].astype(U64) * PLACES[1]) ^ (end[some].astype(U64) * PLACES[2])
             found[some] = mix(chunk[some] ^ mix(span + U64(self.seed & (2**64 - 1)))) >= self.bound
-        return np.where(found, self.v.pair_ranks[at], NO_RANK), self.v.pair_ids[at].astype(np.int32)
+        return np.where(found, self.v.pair_ranks[at], NO_RANK), self.v.pair_ids[at]
 
     def _together(self, symbols, chunk_hash, lengths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Segments all chunks at once: (symbols, starts inside the chunk, number of the chunk)."""
         first = np.r_[0, np.cumsum(lengths)[:-1]]
-        chunk = np.repeat(np.arange(len(lengths)), lengths)
+        chunk = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         start = (np.arange(len(symbols)) - first[chunk]).astype(np.int32)
-        end = start + 1
-        own = chunk_hash[chunk]
         rank, merged = np.full(len(symbols), NO_RANK), np.zeros(len(symbols), np.int32)
-        look = np.flatnonzero(chunk[1:] == chunk[:-1]) if len(chunk) else np.zeros(0, int)
-        rank[look], merged[look] = self._candidates(symbols[look], symbols[look + 1], own[look], start[look], end[look], end[look + 1])
+
+        def look(at: np.ndarray) -> None:
+            """Ranks anew the candidates that begin at these symbols."""
+            rank[at] = NO_RANK
+            at = at[at + 1 < len(chunk)]
+            at = at[chunk[at] == chunk[at + 1]]
+            own = chunk[at]
+            behind = np.minimum(at + 2, len(chunk) - 1)
+            inner = (at + 2 < len(chunk)) & (chunk[behind] == own)
+            end = np.where(inner, start[behind], lengths[own])
+            rank[at], merged[at] = self._candidates(symbols[at], symbols[at + 1], chunk_hash[own], start[at], start[at + 1], end)
+
+        look(np.arange(len(symbols)))
         done = []
         while len(symbols):
             first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
             best = np.minimum.reduceat(rank, first)
             sizes = np.diff(np.r_[first, len(chunk)])
-            live = np.repeat(best < NO_RANK, sizes)
-            if not live.all():
+            kept = best < NO_RANK
+            if not kept.all():
+                live = np.repeat(kept, sizes)
                 done.append((symbols[~live], start[~live], chunk[~live]))
-                symbols, start, end, chunk, own, rank, merged = (x[live] for x in (symbols, start, end, chunk, own, rank, merged))
+                symbols, start, chunk, rank, merged = (x[live] for x in (symbols, start, chunk, rank, merged))
                 if not len(symbols):
                     break
-                kept = best < NO_RANK
                 best, sizes = best[kept], sizes[kept]
-                first = np.r_[0, np.cumsum(sizes)[:-1]]
             wins = np.flatnonzero(rank == np.repeat(best, sizes))
             wins = wins[np.r_[True, chunk[wins[1:]] != chunk[wins[:-1]]]]  # the leftmost of a chunk
-            symbols[wins], end[wins] = merged[wins], end[wins + 1]
+            symbols[wins] = merged[wins]
             keep = np.ones(len(symbols), bool)
             keep[wins + 1] = False
-            at = (np.cumsum(keep) - 1)[wins]
-            symbols, start, end, chunk, own, rank, merged = (x[keep] for x in (symbols, start, end, chunk, own, rank, merged))
-            look = np.concatenate([at, at[at > 0] - 1])
-            rank[look] = NO_RANK
-            look = look[look + 1 < len(chunk)]
-            look = look[chunk[look] == chunk[look + 1]]
-            rank[look], merged[look] = self._candidates(symbols[look], symbols[look + 1], own[look], start[look], end[look], end[look + 1])
+            at = wins - np.arange(len(wins))  # one symbol of each earlier chunk is gone
+            symbols, start, chunk, rank, merged = (x[keep] for x in (symbols, start, chunk, rank, merged))
+            look(np.concatenate([at, at[at > 0] - 1]))
         if not done:
             return symbols, start, chunk
         symbols, start, chunk = (np.concatenate(x) for x in zip(*done))
