@@ -27,7 +27,7 @@ from .words import LETTERS, ngrams, slices, words
 
 MAX_ROWS = 16_000
 MAX_FEATURES = 1 << 20
-MIN_TEXTS = 4
+MIN_TEXTS = 8
 SHARDS = 4
 ROUNDS = 5
 THRESHOLD = 0.7
@@ -174,7 +174,15 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rates: Rate
         share = min(max(seen["ones"] / max(seen["n"], 1), 1e-12), 1 - 1e-12)
         return Model(none.astype(np.int64), none, float(np.log(share / (1 - share))))
     counts = sampled.mapInArrow(_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    common = counts.where(F.col("n") >= MIN_TEXTS).orderBy(F.desc("n"), "key").limit(MAX_FEATURES).select("key")
+    counts = cut(counts.where(F.col("n") >= MIN_TEXTS))
+    # Where too many features are common enough, the bar rises until they fit.
+    most = total = 0
+    for step in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("keys")).orderBy(F.desc("n")).collect():
+        total += step["keys"]
+        if total > MAX_FEATURES:
+            break
+        most = step["n"]
+    common = counts.where(F.col("n") >= most if most else F.lit(False)).select("key")
     keys = np.sort(common.toPandas()["key"].to_numpy(np.int64))
     if not len(keys):
         share = seen["ones"] / seen["n"]
