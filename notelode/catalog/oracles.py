@@ -649,7 +649,7 @@ WITH {RICH}, {CLEANED}, replied AS (
          {rtrim(f"CASE WHEN toxic = 1 THEN regexp_replace(regexp_replace(markdown, '{BLOCK}', '', 'g'), '{chr(92)}n{{3,}}', chr(10)||chr(10), 'g') ELSE markdown END")} AS base
   FROM cleaned)
 SELECT path AS file_path, CASE WHEN length(cleaned) >= 200 THEN 'updated' ELSE 'skipped' END AS status,
-       CASE WHEN length(cleaned) < 200 THEN 'Note only has '||length(cleaned)||' characters (< 200); skipping summary.' END AS message,
+       CASE WHEN length(cleaned) < 200 THEN 'Too short for summary: '||length(cleaned)||' of 200 characters.' END AS message,
        CASE WHEN length(cleaned) >= 200 THEN base||{text(chr(10)*2 + BLOCK_START + chr(10) + 'AI Summary' + chr(10)*2)}||{STAMP}||reply
             ||{text(chr(10) + BLOCK_END + chr(10)*2)} END AS new_markdown
 FROM replied"""
@@ -658,7 +658,7 @@ ORACLES["tag_notes"] = f"""
 WITH {RICH}, c AS (SELECT *, {trim('(' + strip('body') + ')')} AS tag_text FROM rich),
 replied AS (SELECT *, replace({reply(TAG_PROMPT)}, ' ', '-') AS tag FROM c)
 SELECT path AS file_path, CASE WHEN length(tag_text) >= 120 THEN 'updated' ELSE 'skipped' END AS status,
-       CASE WHEN length(tag_text) < 120 THEN 'Note only has '||length(tag_text)||' characters (< 120); skipping tagging.' END AS message,
+       CASE WHEN length(tag_text) < 120 THEN 'Too short for tagging: '||length(tag_text)||' of 120 characters.' END AS message,
        CASE WHEN length(tag_text) >= 120 THEN '---'||chr(10)
          ||CASE WHEN quality IS NULL THEN 'title: Note '||doc_id||chr(10) WHEN quality = 0 THEN 'summary: Short'||chr(10) ELSE '' END
          ||'tags:'||chr(10)||CASE WHEN quality IS NULL OR quality = 0 THEN '  - "#'||lang||'"'||chr(10) ELSE '' END
@@ -728,7 +728,7 @@ WITH {RICH}, {CLEANED}, {CORPUS},
 {stand_in_vectors('note_vectors', 'SELECT path AS id, substr(cleaned, 1, 4000) AS t FROM cleaned WHERE length(cleaned) >= 200')},
 {related_lists('note_vectors')}
 SELECT path AS file_path, CASE WHEN context IS NULL THEN 'skipped' ELSE 'updated' END AS status,
-       CASE WHEN context IS NULL THEN 'Note only has '||length(cleaned)||' characters (< 200); skipping related content.' END AS message,
+       CASE WHEN context IS NULL THEN 'Too short for related content: '||length(cleaned)||' of 200 characters.' END AS message,
        CASE WHEN context IS NOT NULL THEN {collapsed('markdown')}||{block('AI Related Content', reply(RELATED_PROMPT))} END AS new_markdown
 FROM cleaned LEFT JOIN related_lists r ON r.id = path"""
 
@@ -801,7 +801,7 @@ known AS (SELECT query_id, string_agg({CONTEXT_ROWS}) AS knowledge
           FROM packed p JOIN corpus c ON c.chunk_id = p.chunk_id GROUP BY query_id),
 full_rows AS (SELECT r.*, recent, knowledge FROM ready r LEFT JOIN history h ON h.path = r.path LEFT JOIN known k ON k.query_id = r.path)
 SELECT path AS file_path, CASE WHEN today IS NULL THEN 'skipped' ELSE 'updated' END AS status,
-       CASE WHEN today IS NULL THEN 'Note only has '||length(cleaned)||' characters (< 200); skipping journal reflection.' END AS message,
+       CASE WHEN today IS NULL THEN 'Too short for journal reflection: '||length(cleaned)||' of 200 characters.' END AS message,
        CASE WHEN today IS NOT NULL THEN {collapsed('markdown')}||{block('AI Journal Reflection', reply(JOURNAL_PROMPT))} END AS new_markdown
 FROM full_rows"""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ def fence_source(text: Column) -> Column:
     """YAML text between the fences with ``- #tag`` items quoted; null without frontmatter."""
     source = F.regexp_extract(text, FENCE_PATTERN, 1)
     quoted = F.regexp_replace(
-        source, rf"(?<=\n|\A)({_W})- #{_W}([^\n]*?){_W}(?=\n|\z)", '$1- "#$2"'
+        source, rf"(?<=\n|\A)({_W})- #{_W}([^\n]*?){_W}(?<!\r)(?=\n|\z)", '$1- "#$2"'
     )
     return F.when(has_fence(text), trim(quoted))
 
@@ -69,6 +70,33 @@ def _construct_int(loader: yaml.SafeLoader, node: yaml.ScalarNode) -> int:
 _CoreLoader.add_constructor("tag:yaml.org,2002:int", _construct_int)
 
 
+def _construct_mapping(loader: yaml.SafeLoader, node: yaml.MappingNode, deep: bool = False) -> dict:
+    """Repeated keys are refused, as the core schema asks."""
+    seen = set()
+    for key_node, _ in node.value:
+        key = (key_node.tag, getattr(key_node, "value", None) if isinstance(key_node, yaml.ScalarNode) else id(key_node))
+        if key in seen and key_node.tag != "tag:yaml.org,2002:merge":
+            raise yaml.constructor.ConstructorError(None, None, "a key is repeated", key_node.start_mark)
+        seen.add(key)
+    return yaml.SafeLoader.construct_mapping(loader, node, deep)
+
+
+_CoreLoader.construct_mapping = _construct_mapping
+
+
+def _plain(value: object, depth: int = 0) -> object:
+    """The value as JSON can hold it: no infinities, no loops."""
+    if depth > 200:
+        raise ValueError("the frontmatter holds itself")
+    if isinstance(value, float) and not math.isfinite(value):
+        return None
+    if isinstance(value, dict):
+        return {key if isinstance(key, str) else _as_text(key): _plain(x, depth + 1) for key, x in value.items()}
+    if isinstance(value, list):
+        return [_plain(x, depth + 1) for x in value]
+    return value
+
+
 def _as_text(value: object) -> str:
     if value is None:
         return "null"
@@ -90,10 +118,12 @@ def _facets(source: str | None) -> dict:
         return row
     try:
         data = yaml.load(source, Loader=_CoreLoader)  # noqa: S506 - a SafeLoader subclass
-    except yaml.YAMLError as error:
-        row["error"] = str(error).splitlines()[0]
+        text = json.dumps(_plain({} if data is None else data), ensure_ascii=False, default=str)
+        text.encode("utf-8")  # an escaped half of a surrogate pair cannot leave Python
+    except Exception as error:  # noqa: BLE001 - one odd note must not end the others
+        row["error"] = (str(error).splitlines() or [""])[0] or type(error).__name__
         return row
-    row["json"] = json.dumps({} if data is None else data, ensure_ascii=False, default=str)
+    row["json"] = text
     if isinstance(data, dict):
         for key in ("title", "summary"):
             if isinstance(data.get(key), str):

@@ -4,8 +4,9 @@ A client is any picklable object with ``embed(texts, model)`` and ``generate(pro
 options)``. ``HttpClient`` talks to a model server named by the caller; ``StandIn`` is a
 deterministic replacement without a model, so that every plan can be run and checked offline.
 
-The columns are marked nondeterministic: Spark then neither copies a call into a pushed-down
-filter nor evaluates it twice.
+The columns are marked nondeterministic, so Spark does not copy a call into a pushed-down filter.
+They hold a value and an error: a call that fails never ends the job of the other rows. Give a call
+a column of its own (``ask`` does) and settle it before anything is measured or read twice.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .operators.lineage import cut
+
 ATTEMPTS = 3
 
 
@@ -82,6 +85,10 @@ class StandIn:
         return "response " + hashlib.sha1(prompt.encode("utf-8")).hexdigest()
 
 
+def describe(error: Exception) -> str:
+    return str(error).split("\n", 1)[0] or type(error).__name__
+
+
 def unit_vector(vector: list[float]) -> list[float]:
     values = np.asarray(vector, dtype=float)
     length = float(np.sqrt((values * values).sum()))
@@ -102,22 +109,31 @@ def _with_retries(client: ModelClient, texts: list[str], model: str, pause: floa
 def embedding(
     text: Column, client: ModelClient, model: str = "", batch_size: int = 8, pause: float = 0.1
 ) -> Column:
-    """Unit-length embedding of a text column, ``batch_size`` texts per call, three attempts.
+    """``value``, the unit-length embedding of a text column, and ``error``.
 
-    Null texts are not sent; a text for which the client returns nothing gives null.
+    ``batch_size`` texts go with a call, which is tried three times. Null texts are not sent; a
+    text for which the client returns nothing has neither value nor error. Texts of a call that
+    fails have its error, and the others go on.
     """
 
-    @F.pandas_udf("array<double>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("value array<double>, error string")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             vectors: list = [None] * len(texts)
+            errors: list = [None] * len(texts)
             wanted = [at for at, text_ in enumerate(texts) if text_ is not None]
             for start in range(0, len(wanted), batch_size):
                 slots = wanted[start : start + batch_size]
-                found = _with_retries(client, [texts.iloc[at] for at in slots], model, pause)
-                for at, vector in zip(slots, found):
-                    vectors[at] = None if vector is None else unit_vector(vector)
-            yield pd.Series(vectors, index=texts.index, dtype=object)
+                try:
+                    found = _with_retries(client, [texts.iloc[at] for at in slots], model, pause)
+                    units = [None if vector is None else unit_vector(vector) for vector in found]
+                except Exception as error:  # noqa: BLE001 - whatever the client raises
+                    for at in slots:
+                        errors[at] = describe(error)
+                    continue
+                for at, unit in zip(slots, units):
+                    vectors[at] = unit
+            yield pd.DataFrame({"value": pd.Series(vectors, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     return embed.asNondeterministic()(text)
 
@@ -125,22 +141,46 @@ def embedding(
 def response(
     prompt: Column, client: ModelClient, model: str = "", options: Mapping[str, Any] | None = None
 ) -> Column:
-    """Generated text for a prompt column; null prompts are not sent."""
+    """``value``, the generated text for a prompt column, and ``error`` where the call failed.
+
+    Null prompts are not sent. Use ``ask``, which keeps Spark from repeating the call.
+    """
     settings = dict(options or {})
 
-    @F.pandas_udf("string")
-    def generate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def one(prompt_: str | None) -> tuple[str | None, str | None]:
+        if prompt_ is None:
+            return None, None
+        try:
+            return client.generate(prompt_, model, settings), None
+        except Exception as error:  # noqa: BLE001 - whatever the client raises
+            return None, describe(error)
+
+    @F.pandas_udf("value string, error string")
+    def generate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for prompts in batches:
-            yield prompts.map(
-                lambda p: None if p is None else client.generate(p, model, settings)
-            )
+            yield pd.DataFrame([one(p) for p in prompts], columns=["value", "error"], dtype=object)
 
     return generate.asNondeterministic()(prompt)
 
 
+def ask(
+    df: DataFrame, prompt: Column, client: ModelClient, model: str = "", options: Mapping[str, Any] | None = None
+) -> DataFrame:
+    """``df`` with ``reply`` and ``reply_error``, one call for each row whose prompt is not null.
+
+    The call has a column of its own, so that whatever reads the reply does not repeat it, and a
+    call that fails leaves an error in its own row alone.
+    """
+    settled = df.withColumn("_prompt", prompt).withColumn("_reply", response(F.col("_prompt"), client, model, options))
+    return settled.select(
+        *df.columns, F.col("_reply.value").alias("reply"), F.col("_reply.error").alias("reply_error")
+    )
+
+
 def embed_questions(
     questions: DataFrame, client: ModelClient, model: str = "", batch_size: int = 8
 ) -> DataFrame:
-    """``query_id, question, vector``; questions without an embedding are dropped."""
-    vector = embedding(F.col("question"), client, model, batch_size)
-    return questions.withColumn("vector", vector).where(F.col("vector").isNotNull())
+    """``query_id, question, vector``, settled; questions without an embedding are dropped."""
+    found = questions.withColumn("_embedded", embedding(F.col("question"), client, model, batch_size))
+    vector = found.select(*questions.columns, F.col("_embedded.value").alias("vector"))
+    return cut(vector).where(F.col("vector").isNotNull())

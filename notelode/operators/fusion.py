@@ -71,11 +71,11 @@ def merge_waves(waves: DataFrame) -> DataFrame:
 
     def fold(lists: pd.DataFrame) -> pd.DataFrame:
         merged: dict[str, float] = {}
-        for number, (_, rows) in enumerate(lists.sort_values(["wave", "rank"]).groupby("wave")):
+        for wave, rows in lists.sort_values(["wave", "rank"]).groupby("wave"):
             for chunk_id, score in zip(rows["chunk_id"], rows["score"]):
                 if chunk_id not in merged or score > merged[chunk_id]:
                     merged[chunk_id] = score
-            if number:
+            if wave:
                 merged = dict(sorted(merged.items(), key=lambda item: -item[1]))
         return pd.DataFrame(
             {

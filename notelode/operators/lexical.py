@@ -139,7 +139,9 @@ def _plan_small(
     spark: SparkSession, index: DataFrame, rows: list
 ) -> tuple[DataFrame, list[str]]:
     """Questions with rarest term, word weights and corpus statistics, and the rarest terms."""
-    parsed = {row["query_id"]: Counter(tuple(word) for word in row["words"]) for row in rows}
+    parsed: dict[str, Counter] = {}
+    for row in rows:  # rows that repeat an id are one question with the words of all
+        parsed.setdefault(row["query_id"], Counter()).update(tuple(word) for word in row["words"])
     words = {word for counts in parsed.values() for word in counts}
     terms = sorted({part for word in words for part in word})
     stats = {row["term"]: row for row in _document_frequencies(index, terms).collect()}

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_pieces_or_zero
+from .lineage import cut
+from .sizing import top_k
 
 SEPARATOR = "\n\n---\n\n"
 
@@ -17,24 +19,16 @@ def chunk_cost(tokens: Column, content: Column) -> Column:
 
 
 def _prune(ranked: DataFrame, budget: int) -> DataFrame:
-    """Drop rows that cannot be admitted whatever the others are.
+    """Drop rows that cost something and cannot be admitted whatever the others are.
 
     A row of cost ``c`` is admitted only if ``c`` fits, and once it does not fit it never does
     again, so the admitted rows of one cost are its first ``budget / c`` at most. Only the very
     first row may exceed the budget. What is left per question is bounded by the budget.
     """
-    by_cost = Window.partitionBy("query_id", "cost").orderBy("rank")
-    first = Window.partitionBy("query_id").orderBy("rank")
-    limit = F.when(F.col("cost") > 0, F.floor(F.lit(budget) / F.col("cost"))).otherwise(
-        F.lit(1 << 30)
-    )
-    # The constant bound lets Spark trim each cost group before the shuffle.
-    head = ranked.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= 1)
-    rest = (
-        ranked.where(F.col("cost") <= budget)
-        .withColumn("_n", F.row_number().over(by_cost))
-        .where((F.col("_n") <= budget + 1) & (F.col("_n") <= limit + 1))
-    )
+    head = top_k(ranked, ["query_id"], [F.asc("rank")], 1, spread="chunk_id", rank="_n")
+    fits = ranked.where((F.col("cost") > 0) & (F.col("cost") <= budget))
+    rest = top_k(fits, ["query_id", "cost"], [F.asc("rank")], max(1, budget), spread="chunk_id", rank="_n")
+    rest = rest.where(F.col("_n") <= F.floor(F.lit(budget) / F.col("cost")) + 1)
     return head.unionByName(rest).drop("_n").dropDuplicates(["query_id", "rank"])
 
 
@@ -42,18 +36,19 @@ def pack(ranked: DataFrame, budget: int) -> DataFrame:
     """Rows admitted to the context, in rank order, with ``label`` numbers from 1.
 
     ``ranked`` has ``query_id, chunk_id, rank, tokens, content`` and whatever else should come
-    along. Rows that do not fit are skipped and later, smaller ones may still be taken; the
-    first row always is. A chunk counts once.
+    along; ranks differ within a question. Rows that do not fit are skipped and later, smaller
+    ones may still be taken; the first row always is. Rows without cost always fit, unless the
+    first row overdrew the budget; they are admitted without being folded. A chunk counts once.
     """
     once = Window.partitionBy("query_id", "chunk_id").orderBy("rank")
-    costed = (
-        ranked.withColumn("cost", chunk_cost(F.col("tokens"), F.col("content")).cast("int"))
+    cost = chunk_cost(F.col("tokens"), F.col("content")).cast("long")
+    costed = cut(
+        ranked.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), cost.alias("cost"))
         .withColumn("_seen", F.row_number().over(once))
         .where(F.col("_seen") == 1)
         .drop("_seen")
     )
-    slim = _prune(costed.select("query_id", "rank", "cost"), budget)
-    lists = slim.groupBy("query_id").agg(
+    lists = _prune(costed, budget).groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "cost"))).alias("rows")
     )
 
@@ -68,19 +63,24 @@ def pack(ranked: DataFrame, budget: int) -> DataFrame:
         ).otherwise(acc)
 
     start = F.struct(
-        F.lit(budget).alias("left"), F.array().cast("array<int>").alias("ranks")
+        F.lit(budget).cast("long").alias("left"), F.array().cast("array<long>").alias("ranks")
     )
-    admitted = lists.select(
-        "query_id",
-        F.posexplode(F.aggregate("rows", start, admit, lambda acc: acc["ranks"])).alias(
-            "_at", "rank"
-        ),
+    folded = lists.select(
+        "query_id", F.get("rows", F.lit(0))["cost"].alias("first"),
+        F.aggregate("rows", start, admit, lambda acc: acc["ranks"]).alias("ranks"),
     )
-    return (
-        costed.join(admitted, ["query_id", "rank"])
-        .withColumn("label", F.col("_at") + 1)
-        .drop("_at", "cost")
+    priced = folded.select("query_id", F.explode("ranks").alias("rank"))
+    free = costed.where(F.col("cost") == 0).join(
+        folded.where(F.col("first") <= budget).select("query_id"), "query_id", "left_semi"
     )
+    admitted = priced.unionByName(free.select("query_id", "rank")).distinct()
+    in_order = Window.partitionBy("query_id").orderBy("rank")
+    return ranked.join(
+        costed.join(admitted, ["query_id", "rank"])
+        .withColumn("label", F.row_number().over(in_order))
+        .select("query_id", "chunk_id", F.col("rank").alias("_rank"), "label"),
+        ["query_id", "chunk_id"],
+    ).where(F.col("rank") == F.col("_rank")).drop("_rank")
 
 
 def context_block(label: Column, path: Column, headings: Column, content: Column) -> Column:

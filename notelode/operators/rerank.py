@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import render_prompt
 from ..functions.text import json_ids, utf16_prefix
-from ..models import ModelClient, response
+from ..models import ModelClient, ask
+from .lineage import cut
 
 PREVIEW_CHARS = 800
 
@@ -39,21 +40,22 @@ def rerank(
     """Ask a model for the order of each question's final list.
 
     ``ranked`` holds at most the configured top-n rows per question, so a question's list is one
-    row while the model is called. Lists of one row and unusable responses stay as they are.
+    row while the model is called, once. Lists of one row, unusable responses and failed calls leave
+    the order as it is.
     """
     payload = [c for c in ranked.columns if c not in ("query_id", "rank")]
     lists = ranked.groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", *payload))).alias("rows")
     )
-    asked = lists.join(questions.select("query_id", "question"), "query_id")
+    asked = cut(lists.join(questions.select("query_id", "question"), "query_id"))
     prompt = render_prompt(
         template,
         {"question": F.col("question"), "chunks": F.array_join(F.transform("rows", preview), "\n\n")},
     )
     prompt = F.when(F.size("rows") > 1, prompt)
-    answered = asked.withColumn(
-        "ids", json_ids(F.coalesce(response(prompt, client, model, {"temperature": 0, "max_tokens": 256}), F.lit("")))
-    )
+    options = {"temperature": 0, "max_tokens": 256}
+    replies = cut(ask(asked.withColumn("_p", prompt), F.col("_p"), client, model, options).select("query_id", "reply"))
+    answered = asked.join(replies, "query_id").withColumn("ids", json_ids(F.coalesce("reply", F.lit(""))))
     return answered.select(
         "query_id", F.posexplode(reorder(F.col("rows"), F.col("ids"))).alias("_at", "row")
     ).select("query_id", *(f"row.{c}" for c in payload), (F.col("_at") + 1).alias("rank"))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +23,17 @@ from .sizing import MAX_BROADCAST_QUERIES, small_rows, tiles, top_k
 # cannot reorder equal vectors.
 SCORE_DECIMALS = 12
 CELLS_PER_STEP = 2_000_000
+# Scores that are no number rank behind all others and come out as NaN.
+LOWEST = -float(np.finfo(float).max)
 CHUNKS_PER_TILE = 50_000
 HIT_SCHEMA = "query_id string, key string, score double"
 
 
+def _numbers(vector: list | None) -> list:
+    """The vector with nulls read as 0."""
+    return [0.0 if x is None else x for x in vector or []]
+
+
 class _Questions:
     """Question vectors of one tile, grouped by length."""
 
@@ -37,7 +45,7 @@ class _Questions:
                 self.skip.setdefault(key, []).append(number)
         lengths = np.array([0 if v is None else len(v) for v in vectors], dtype=int)
         self.blocks = [
-            (members, np.array([vectors[i] for i in members], dtype=float).reshape(len(members), n))
+            (members, np.array([_numbers(vectors[i]) for i in members], dtype=float).reshape(len(members), n))
             for n in np.unique(lengths)
             for members in [np.flatnonzero(lengths == n)]
         ]
@@ -45,7 +53,7 @@ class _Questions:
     def scores(self, chunk_vectors: pa.Array, metric: str) -> np.ndarray:
         """Dot products or cosines over the shared length, shape ``chunks x questions``."""
         lengths = np.asarray(chunk_vectors.value_lengths().fill_null(0), dtype=int)
-        flat = np.asarray(chunk_vectors.flatten(), dtype=float)
+        flat = np.asarray(pc.fill_null(chunk_vectors.flatten(), 0.0), dtype=float)
         starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
         out = np.zeros((len(lengths), len(self.ids)))
         for n in np.unique(lengths):
@@ -80,6 +88,7 @@ class _Best:
         names = keys.to_numpy(zero_copy_only=False)
         scores = self.q.scores(vectors, self.metric) + np.asarray(boost, dtype=float)[:, None]
         scores = np.round(scores, SCORE_DECIMALS)
+        scores[np.isnan(scores) | (scores == -np.inf)] = LOWEST
         if self.per_key_max:
             codes, names = pd.factorize(names)
             order = np.argsort(codes, kind="stable")
@@ -174,7 +183,8 @@ def _score(
         hits = _grid(chunks, questions, k, metric, per_key_max, max_questions, chunks_per_tile)
     if per_key_max:
         hits = hits.groupBy("query_id", "key").agg(F.max("score").alias("score"))
-    return top_k(hits, ["query_id"], [F.desc("score"), F.asc("key")], k, spread="key")
+    best = top_k(hits, ["query_id"], [F.desc("score"), F.asc("key")], k, spread="key")
+    return best.withColumn("score", F.when(F.col("score") == LOWEST, float("nan")).otherwise(F.col("score")))
 
 
 def _question_columns(questions: DataFrame, skip: Column) -> DataFrame:

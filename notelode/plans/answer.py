@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.prompts import render_prompt
 from ..functions.text import bullet_lines, json_array_or_lines
-from ..models import ModelClient, embed_questions, response
+from ..models import ModelClient, ask, embed_questions
 from ..operators.evaluate import metrics, score_cases
 from ..operators.filters import Filters
 from ..operators.fusion import merge_waves
@@ -46,7 +46,10 @@ def answer(
     filters: Filters | None = None,
     index: DataFrame | None = None,
 ) -> DataFrame:
-    """``query_id, question, answer, context, citations, paths`` for ``query_id, question`` rows.
+    """``query_id, question, answer, context, citations, paths, error`` for ``query_id, question`` rows.
+
+    A model call that fails costs its own question the rewrites, follow-ups or the answer, whose
+    ``error`` says why.
 
     The original questions and all rewrites are one retrieval; follow-ups, which depend on the
     packed context, are a second one. Any merge re-sorts by fused score.
@@ -64,11 +67,9 @@ def answer(
     questions = cut(questions.select(F.col("query_id").cast("string").alias("query_id"), "question"))
     if config.features.query_rewriting:
         prompt = render_prompt(prompts.query_rewrite, {"question": F.col("question")})
-        reply = response(
-            prompt, client, models.query_rewrite_model, {"temperature": 0.2, "max_tokens": 256}
-        )
-        asked = questions.withColumn("_texts", json_array_or_lines(reply))
-        rewrites = cut(_variants(asked, F.col("_texts"), "rewrite"))
+        options = {"temperature": 0.2, "max_tokens": 256}
+        asked = cut(ask(questions, prompt, client, models.query_rewrite_model, options))
+        rewrites = cut(_variants(asked, json_array_or_lines(F.col("reply")), "rewrite"))
         results = found_for(
             questions.unionByName(rewrites.select("query_id", "question"))
         )
@@ -82,9 +83,9 @@ def answer(
         prompt = render_prompt(
             prompts.iterative_gap, {"question": F.col("question"), "context": F.col("context")}
         )
-        reply = response(prompt, client, models.llm_model, {"temperature": 0.1, "max_tokens": 256})
-        asked = questions.join(packed, "query_id", "left").withColumn("_texts", bullet_lines(reply))
-        follow_ups = cut(_variants(asked, F.col("_texts"), "follow-up"))
+        options = {"temperature": 0.1, "max_tokens": 256}
+        asked = cut(ask(questions.join(packed, "query_id", "left"), prompt, client, models.llm_model, options))
+        follow_ups = cut(_variants(asked, bullet_lines(F.col("reply")), "follow-up"))
         found = found_for(follow_ups.select("query_id", "question"))
         results = _merge(results, follow_ups, found)
 
@@ -95,10 +96,10 @@ def answer(
     )
     prompt = render_prompt(prompts.qa, {"question": F.col("question"), "context": full_context})
     options = {"temperature": models.temperature, "max_tokens": models.max_tokens}
-    return (
-        questions.join(packed, "query_id", "left")
-        .withColumn("answer", response(prompt, client, models.llm_model, options))
-        .select("query_id", "question", "answer", "context", "citations", "paths")
+    answered = ask(questions.join(packed, "query_id", "left"), prompt, client, models.llm_model, options)
+    return answered.select(
+        "query_id", "question", F.col("reply").alias("answer"), "context", "citations", "paths",
+        F.col("reply_error").alias("error"),
     )
 
 

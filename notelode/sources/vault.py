@@ -66,7 +66,10 @@ def list_notes(spark: SparkSession, root: str, partitions: int | None = None) ->
         for batch in batches:
             rows = []
             for path in batch["path"]:
-                info = os.stat(path)
+                try:
+                    info = os.stat(path)
+                except OSError:  # gone since it was listed
+                    continue
                 birth = getattr(info, "st_birthtime", 0.0)
                 relative = os.path.relpath(path, root)
                 rows.append(

@@ -29,13 +29,7 @@ def index_stream(
                 F.max("mtime").alias("mtime"), F.max_by("markdown", "mtime").alias("markdown")
             )
         )
-        known = store.files().join(
-            newest.select(F.col("file_path").alias("path")), "path", "left_anti"
-        )
-        kept = known.select(
-            F.col("path").alias("file_path"), "mtime", F.lit(None).cast("string").alias("markdown")
-        )
-        index_notes(store, newest.unionByName(kept), client, config)
+        index_notes(store, newest, client, config, whole=False)
 
     return (
         notes.writeStream.foreachBatch(index_batch)
