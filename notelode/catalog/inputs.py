@@ -101,13 +101,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indexed chunks: documents that have an embedding, with their source as file."""
+    """Indexed chunks: every document, with its source as file; some have no vector."""
     docs = table(spark, sf_dir, "documents")
-    return docs.join(vectors(spark, sf_dir), "doc_id").select(
-        "chunk_id", F.concat(F.col("source"), F.lit(".md")).alias("file_path"),
+    known = vectors(spark, sf_dir).select("doc_id", "embedding", "label")
+    none = F.array().cast("array<double>")
+    return docs.join(known, "doc_id", "left").withColumn("embedding", F.coalesce("embedding", none)).select(
+        F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.col("source"), F.lit(".md")).alias("file_path"),
         F.array("source", "lang").alias("heading_path"), F.col("text").alias("content"),
         T.count_tokens(F.col("text")).alias("tokens"), F.lit("text").alias("chunk_type"),
-        F.array("lang").alias("tags"), "mtime", "embedding", "label", "source", "lang", "doc_id",
+        F.array("lang").alias("tags"), doc_mtime().alias("mtime"), "embedding", "label", "source", "lang", "doc_id",
     )
 
 
@@ -133,11 +135,12 @@ def label_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as questions, each with the embedding of the same number."""
+    """Benchmark passages as questions, each with the embedding of the same number, if there is one."""
     items = table(spark, sf_dir, "benchmark")
     known = vectors(spark, sf_dir).select(F.col("doc_id").alias("item_id"), F.col("embedding").alias("vector"))
-    return items.join(known, "item_id").select(
-        F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("question"), "vector"
+    vector = F.coalesce("vector", F.array().cast("array<double>"))
+    return items.join(known, "item_id", "left").select(
+        F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("question"), vector.alias("vector")
     )
 
 

@@ -75,9 +75,9 @@ MTIME = f"({EPOCH} + doc_id*{HOUR})::BIGINT"
 CORPUS = f"""
 corpus AS (
   SELECT doc_id::VARCHAR AS chunk_id, source||'.md' AS file_path, [source, lang] AS hp,
-         text AS content, len({words('text')}) AS tokens, {EPOCH} + vec_id*{HOUR} AS mtime,
-         embedding::DOUBLE[] AS emb, source, lang, doc_id
-  FROM documents JOIN embeddings ON doc_id = vec_id)"""
+         text AS content, len({words('text')}) AS tokens, {EPOCH} + doc_id*{HOUR} AS mtime,
+         coalesce(embedding::DOUBLE[], []::DOUBLE[]) AS emb, source, lang, doc_id
+  FROM documents LEFT JOIN embeddings ON doc_id = vec_id)"""
 VECTORS = f"""
 vectors AS (
   SELECT vec_id::VARCHAR AS chunk_id, embedding::DOUBLE[] AS emb, label,
@@ -85,6 +85,15 @@ vectors AS (
 BOOST = f"0.05::DOUBLE / (1 + ({NOW_MS} - mtime) / 86400000.0::DOUBLE)"
 
 
+def dot(a: str, b: str) -> str:
+    """Dot product; 0 when a side has no vector."""
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE list_inner_product({a}, {b}) END"
+
+
+def cosine(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE list_cosine_similarity({a}, {b}) END"
+
+
 def centroid(name: str, source: str, key: str) -> str:
     return f"""
 {name} AS (
@@ -107,8 +116,8 @@ SOURCE_QUESTIONS = (
 )
 BENCH_QUESTIONS = """
 bq AS (
-  SELECT item_id::VARCHAR AS query_id, text AS question, embedding::DOUBLE[] AS vector
-  FROM benchmark JOIN embeddings ON item_id = vec_id)"""
+  SELECT item_id::VARCHAR AS query_id, text AS question, coalesce(embedding::DOUBLE[], []::DOUBLE[]) AS vector
+  FROM benchmark LEFT JOIN embeddings ON item_id = vec_id)"""
 
 
 def vector_list(questions: str, where: str = "TRUE") -> str:
@@ -118,7 +127,7 @@ vec AS (
     SELECT query_id, chunk_id, score,
            row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
     FROM (SELECT query_id, chunk_id,
-                 round(list_inner_product(emb, vector) + {BOOST}, 12) AS score
+                 round(({dot('emb', 'vector')}) + {BOOST}, 12) AS score
           FROM corpus, {questions} WHERE {where})) WHERE rank <= 40)"""
 
 
@@ -182,8 +191,8 @@ picks AS (
          NULL::INTEGER AS picked FROM pool WHERE n > 12
   UNION ALL
   SELECT query_id, chunk_id, score, rank, emb, step + 1,
-         CASE WHEN step = 0 THEN list_inner_product(emb, best)
-              ELSE greatest(closest, list_inner_product(emb, best)) END,
+         CASE WHEN step = 0 THEN {dot('emb', 'best')}
+              ELSE greatest(closest, {dot('emb', 'best')}) END,
          CASE WHEN rn = 1 THEN step + 1 ELSE picked END
   FROM (SELECT *, row_number() OVER w AS rn, first_value(emb) OVER w AS best FROM picks
         WHERE step < 12
@@ -226,7 +235,7 @@ RELATED = f"""
 WITH {CORPUS}, {centroid('means', 'corpus', 'file_path')},
 best AS (
   SELECT m.file_path AS query_id, c.file_path AS path,
-         max(round(list_cosine_similarity(emb, vector), 12)) AS score
+         max(round({cosine('emb', 'vector')}, 12)) AS score
   FROM corpus c, means m WHERE c.file_path <> m.file_path GROUP BY ALL),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM best)"""
@@ -712,7 +721,7 @@ def related_lists(vectors: str) -> str:
     """CTE ``related_lists(id, context)``: the five closest source files as lines."""
     return f"""
 related_best AS (
-  SELECT v.id, c.file_path AS path, max(round(list_cosine_similarity(c.emb, v.vector), 12)) AS score
+  SELECT v.id, c.file_path AS path, max(round({cosine('c.emb', 'v.vector')}, 12)) AS score
   FROM {vectors} v, corpus c GROUP BY ALL),
 related_ranked AS (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, path) AS rank FROM related_best),
