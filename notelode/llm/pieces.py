@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ RATE = 0.1
 VARIANTS = 4
 # Longer chunks are segmented with a heap, one by one.
 LONG_CHUNK = 64
-# Characters of one step; a longer text is a step of its own.
-SLICE_CHARS = 1 << 21
+# Bytes of one step; a longer text is a step of its own.
+SLICE_CHARS = 1 << 20
 NO_RANK = np.int32(2**31 - 1)
 DEFAULT_FILE = "piece_bpe_32k.model"
 
@@ -279,9 +280,11 @@ def _steps(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def encode(docs: DataFrame, path: str, rate: float = RATE, seed: int = 0, variants: int = VARIANTS) -> DataFrame:
-    """``docs`` without ``text`` and with ``ids`` array<int>; a null or empty text has no ids.
+def encode(docs: DataFrame, path: str, rate: float = RATE, seed: int = 0, variants: int = VARIANTS,
+           decoded: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` array<int> in place of ``text``; a null or empty text has no ids.
 
+    With ``decoded`` the text that the ids decode to comes along as ``text``, in the same pass.
     Every row is encoded alone, so repeated rows have equal ids; a null doc_id has variant 0.
     An empty table gives an empty result. Other columns pass through; a column named ``ids`` is
     replaced.
@@ -292,19 +295,19 @@ def encode(docs: DataFrame, path: str, rate: float = RATE, seed: int = 0, varian
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shipped.value, rate, seed)
         for batch in batches:
-            texts, variant = batch.column("_text").to_pylist(), batch.column("_variant").to_numpy()
-            for a, b in _steps(np.array([len(t) + 1 for t in texts])):
-                ids, counts = encoder.encode(texts[a:b], variant[a:b])
+            column, variant = batch.column("_text"), batch.column("_variant").to_numpy()
+            for a, b in _steps(np.asarray(pc.binary_length(column), np.int64) + 1):
+                ids, counts = encoder.encode(column.slice(a, b - a).to_pylist(), variant[a:b])
                 edges = np.r_[0, np.cumsum(counts)].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(a, b - a) for c in kept), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids))],
-                    names=[*kept, "ids"],
-                )
+                out = [*(batch.column(c).slice(a, b - a) for c in kept), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids))]
+                if decoded:
+                    out.append(pa.array(decode_ids(shipped.value, ids, counts), pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names=[*kept, "ids", "text"][: len(out)])
 
     variant = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(variants)), F.lit(0))
     source = docs.select(*kept, F.coalesce("text", F.lit("")).alias("_text"), variant.alias("_variant"))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "ids array<int>"])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, f"{schema}, text string" if decoded else schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -337,7 +340,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of ids and whether they decode to the text: doc_id, n_pieces, ids_xxhash64, lossless."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     source = docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    read = decode(encode(source, model_path()), model_path())
+    read = encode(source, model_path(), decoded=True)
     return read.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"),
         (F.sha2("text", 256) == F.col("sha")).alias("lossless"),

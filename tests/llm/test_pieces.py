@@ -60,4 +60,6 @@ def test_tables(docs):
     got = read.collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted((i or 0, t or "") for i, t in rows)
     assert len({tuple(r.ids) for r in got if r.doc_id == 1}) == 1
+    both = encode(source, model_path(), decoded=True).select(*read.columns).collect()
+    assert sorted(map(str, both)) == sorted(map(str, got))
     assert decode(encode(source.limit(0), model_path()), model_path()).count() == 0
