@@ -29,6 +29,7 @@ MAX_ROWS = 16_000
 MAX_FEATURES = 1 << 20
 MIN_TEXTS = 8
 SHARDS = 4
+ROUGH_BITS = 24
 ROUNDS = 5
 THRESHOLD = 0.7
 
@@ -76,8 +77,19 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features that a shard sees in two texts or more, with their numbers of texts."""
-    own = [x for _, rows in _distinct(batches) for x in rows]
+    """Features that a shard sees in two texts or more, with their numbers of texts.
+
+    Most features occur once. A first pass over the shard's texts counts them by their low bits,
+    and the second one gathers only what it may have seen twice.
+    """
+    held = list(batches)
+    rough = np.zeros(1 << ROUGH_BITS, np.uint8)
+    low = len(rough) - 1
+    for _, rows in _distinct(iter(held)):
+        for own in rows:
+            at = own & low
+            rough[at] = np.minimum(rough[at], 254) + 1
+    own = [x[rough[x & low] > 1] for _, rows in _distinct(iter(held)) for x in rows]
     if own:
         keys, n = np.unique(np.concatenate(own), return_counts=True)
         kept = np.flatnonzero(n > 1)

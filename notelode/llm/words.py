@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 # Texts are handled in slices of about so many bytes; one longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
