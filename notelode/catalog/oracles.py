@@ -300,6 +300,10 @@ score AS (SELECT query_id, chunk_id,
 SELECT query_id, chunk_id, round(bm25, 9) AS bm25, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 12), chunk_id) AS rank
   FROM score) WHERE rank <= 30"""
+_WORDS, _PHRASES = ORACLES["bm25_topk"], ORACLES["bm25_phrases"]
+ORACLES["bm25_postings"] = f"""
+SELECT query_id, chunk_id, bm25, rank FROM ({_WORDS.strip()})
+UNION ALL SELECT 'phrase '||query_id, chunk_id, bm25, rank FROM ({_PHRASES.strip()})"""
 ORACLES["lexical_postfilter"] = f"""
 WITH {WORD_QUESTIONS}, {bm25('wq', ALL_DOCS)}
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank
@@ -358,6 +362,11 @@ BENCH_HYBRID = hybrid("bq", f"{CORPUS}, {BENCH_QUESTIONS}")
 ORACLES["hybrid_retrieve"] = f"WITH RECURSIVE {hybrid('sq', SOURCE_QUESTIONS)} {SHOW_FINAL}"
 ORACLES["hybrid_filtered"] = f"WITH RECURSIVE {hybrid('sq', SOURCE_QUESTIONS, FILTERED)} {SHOW_FINAL}"
 ORACLES["hybrid_passages"] = f"WITH RECURSIVE {BENCH_HYBRID} {SHOW_FINAL}"
+ORACLES["rerank_model"] = f"""
+WITH RECURSIVE {hybrid('sq', SOURCE_QUESTIONS)}
+SELECT f.query_id, f.chunk_id, c.file_path, round(f.score, 6) AS score,
+       row_number() OVER (PARTITION BY f.query_id ORDER BY f.rank DESC) AS rank
+FROM final f JOIN corpus c ON c.chunk_id = f.chunk_id"""
 BENCH_PACKED = f"""{BENCH_HYBRID}, {packed('SELECT f.query_id, f.chunk_id, f.rank, c.tokens FROM final f JOIN corpus c ON c.chunk_id = f.chunk_id')}"""
 HEAD = "'[C'||label||'] '||file_path||' | '||array_to_string(hp, ' > ')"
 ORACLES["answer_context"] = f"""
@@ -627,9 +636,21 @@ ORACLES["index_reuse"] = f"""{INDEX}
 SELECT c.chunk_id, c.file_path, coalesce(s.content_hash = c.content_hash, FALSE) AS reused,
        CASE WHEN s.content_hash = c.content_hash THEN 2 ELSE 0 END::BIGINT AS dimensions
 FROM chunks c LEFT JOIN stored s ON s.chunk_id = c.chunk_id"""
+ORACLES["index_run"] = f"""{INDEX}, {FILES},
+todo AS (SELECT path FROM status WHERE status IN ('new', 'changed'))
+SELECT count(*) FILTER (status <> 'removed') AS total_files,
+  count(*) FILTER (status IN ('new', 'changed')) AS processed,
+  count(*) FILTER (status = 'unchanged') AS skipped, count(*) FILTER (status = 'removed') AS removed, 0::BIGINT AS failed,
+  (SELECT count(*) FROM chunks WHERE file_path IN (SELECT path FROM todo)) AS chunks_upserted,
+  (SELECT count(*) FROM stored WHERE file_path IN (SELECT path FROM todo)
+   AND chunk_id NOT IN (SELECT chunk_id FROM chunks)) AS chunks_deleted FROM status"""
 ORACLES["index_stale"] = f"""{INDEX}
 SELECT chunk_id, file_path FROM stored WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks)"""
 ORACLES["index_upsert"] = f"{INDEX} SELECT chunk_id, file_path, content_hash, tokens FROM chunks"
+ORACLES["index_postings"] = f"""{INDEX},
+tokens AS (SELECT chunk_id, {terms('content')} AS toks FROM chunks),
+each AS (SELECT chunk_id, len(toks) AS length, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS at FROM tokens)
+SELECT term, chunk_id, length::BIGINT AS length, count(*) AS tf, max(at)::BIGINT AS last_position FROM each GROUP BY ALL"""
 ORACLES["index_file_states"] = f"""{INDEX}
 SELECT c.file_path AS path, max(c.mtime)::BIGINT AS mtime, count(*) AS chunk_count,
        string_agg(c.content_hash, ':' ORDER BY coalesce(s.content_hash = c.content_hash, FALSE) DESC, c.ordinal) AS content_hash
@@ -864,3 +885,12 @@ q2 AS (SELECT query_id, question, vector FROM second_wave JOIN gap_vectors ON id
 {renamed(packed(PACK_MERGED.format('m2')), 'b')},
 {context_cte('c2', 'packed_b')}
 SELECT query_id, {reply(QA)} AS answer, context, cited FROM c2 JOIN benchmark ON item_id::VARCHAR = query_id"""
+ORACLES["eval_answers"] = ORACLES["answer_questions"].rsplit("SELECT query_id,", 1)[0].rstrip() + f""",
+got AS (SELECT query_id, list(file_path ORDER BY label) AS paths
+        FROM packed_b p JOIN corpus c ON c.chunk_id = p.chunk_id GROUP BY query_id),
+scored AS (
+  SELECT coalesce(list_contains(paths[1:12], source||'.md'), FALSE)::INT::DOUBLE AS hit,
+         CASE WHEN coalesce(len(paths), 0) = 0 THEN 0.0::DOUBLE
+              ELSE len(list_filter(paths, lambda p: p = source||'.md'))::DOUBLE/len(paths) END AS c
+  FROM benchmark JOIN documents ON doc_id = item_id LEFT JOIN got ON query_id = item_id::VARCHAR)
+SELECT round(sum(hit)/count(*), 6) AS recall_at_k, round(sum(c)/count(*), 6) AS citation_accuracy FROM scored"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 from functools import wraps
 
@@ -15,9 +17,10 @@ from ..functions import tags as G
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.prompts import render_prompt
-from ..models import StandIn
-from ..operators import chunking, evaluate, fusion, hygiene, indexing, journal, lexical, packing
+from ..models import StandIn, embedding
+from ..operators import chunking, evaluate, fusion, hygiene, indexing, journal, lexical, packing, postings
 from ..operators.filters import Filters, long_enough, user_text
+from ..operators.lineage import cut
 from ..operators.mmr import diversify
 from ..operators.rerank import preview, reorder
 from ..operators.vector import related_files, vector_top_k
@@ -31,6 +34,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SETTINGS = Retrieval()
 CLIENT = StandIn()
+
+
+class Backwards(StandIn):
+    """Answers a reranking prompt with a JSON array of its ids, the last one first."""
+
+    def generate(self, prompt, model, options):
+        return json.dumps(re.findall(r"^ID: (\d+)$", prompt, re.MULTILINE)[::-1])
+
+
 MODEL_FREE = Config(features=Features(reranking=False))
 FILTERS = Filters(path_prefix="src1", tags=["en", "fr"], chunk_types=["text", "code"])
 
@@ -176,9 +188,9 @@ def bm25_phrases(spark, sf_dir):
 @query
 def lexical_postfilter(spark, sf_dir):
     """Metadata filters apply to the lexical list after its cut."""
-    hits = _bm25(spark, sf_dir, I.word_questions(spark, sf_dir))
+    questions, small = settle(I.word_questions(spark, sf_dir).withColumn("vector", F.array()))
     chunks = I.documents_as_chunks(spark, sf_dir)
-    return _ranked(filter_hits(hits, chunks, FILTERS, small=True), "chunk_id")
+    return _ranked(filter_hits(_bm25(spark, sf_dir, questions), chunks, FILTERS, small), "chunk_id")
 
 
 # --- fusion and what follows -------------------------------------------------------------------
@@ -248,7 +260,7 @@ def rerank_by_ids(spark, sf_dir):
 def pack_context(spark, sf_dir):
     """Greedy packing of every document of a language, in id order, into 1800 tokens."""
     docs = I.table(spark, sf_dir, "documents")
-    order = F.col("doc_id").cast("int")
+    order = F.col("doc_id")
     ranked = docs.select(
         F.col("lang").alias("query_id"), F.col("doc_id").cast("string").alias("chunk_id"),
         order.alias("rank"), T.count_tokens(F.col("text")).alias("tokens"), F.col("text").alias("content"),
@@ -313,9 +325,9 @@ def answer_questions(spark, sf_dir):
 def eval_metrics(spark, sf_dir):
     """Recall and citation accuracy of packed passages against their lexical matches."""
     chunks = I.corpus(spark, sf_dir)
-    questions = I.benchmark_questions(spark, sf_dir)
+    questions, small = settle(I.benchmark_questions(spark, sf_dir))
     hits = lexical.lexical_top_k(lexical.index_chunks(chunks), questions, SETTINGS.lexical_top_k)
-    expected = fusion.attach(hits, chunks, ["file_path"], True).groupBy("query_id").agg(
+    expected = fusion.attach(hits, chunks, ["file_path"], small).groupBy("query_id").agg(
         F.array_sort(F.collect_set("file_path")).alias("expected_paths")
     )
     final = retrieve(chunks, questions, MODEL_FREE, I.NOW_MS)
@@ -325,6 +337,29 @@ def eval_metrics(spark, sf_dir):
     return result.select(_rounded("recall_at_k"), _rounded("citation_accuracy"))
 
 
+@query
+def eval_answers(spark, sf_dir):
+    """The evaluation over the whole answer loop: each item expects the file of the document of its number."""
+    docs = I.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("item_id"), F.array(F.concat("source", F.lit(".md"))).alias("expected_paths")
+    )
+    cases = I.table(spark, sf_dir, "benchmark").join(docs, "item_id", "left").select(
+        F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("question"),
+        F.coalesce("expected_paths", F.array().cast("array<string>")).alias("expected_paths"),
+    )
+    result = answer_plan.evaluate(I.corpus(spark, sf_dir), cases, CLIENT, MODEL_FREE, I.NOW_MS)
+    return result.select(_rounded("recall_at_k"), _rounded("citation_accuracy"))
+
+
+@query
+def rerank_model(spark, sf_dir):
+    """Hybrid retrieval whose final lists a model reorders: the stand-in answers all ids backwards."""
+    final = retrieve(
+        I.corpus(spark, sf_dir), I.source_questions(spark, sf_dir), Config(), I.NOW_MS, client=Backwards()
+    )
+    return _ranked(final, "chunk_id", "file_path", _rounded("score"))
+
+
 # --- chunking --------------------------------------------------------------------------------
 
 
@@ -445,7 +480,7 @@ def normalize_tags(spark, sf_dir):
     return I.table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", F.size(candidates).cast("long").alias("candidates"),
         F.array_join(G.distinct_tags(candidates, 6), ",").alias("tags"),
-        F.array_join(G.distinct_tags(G.plain_candidates(F.col("text")), 1 << 20), ",").alias("all_tags"),
+        F.array_join(G.distinct_tags(G.plain_candidates(F.col("text")), None), ",").alias("all_tags"),
     )
 
 
@@ -620,6 +655,31 @@ def index_upsert(spark, sf_dir):
     return after.select("chunk_id", "file_path", "content_hash", F.col("tokens").cast("long").alias("tokens"))
 
 
+@query
+def index_postings(spark, sf_dir):
+    """The lexical index after stale chunks are deleted and fresh ones upserted."""
+    stored, fresh = _stored_chunks(spark, sf_dir), _fresh(spark, sf_dir)
+    before = indexing.delete(postings.postings(stored), indexing.stale_chunks(stored, fresh), "chunk_id")
+    changed = indexing.match_chunks(fresh, stored).where(~F.col("reused"))
+    kept = indexing.delete(before, changed.select("chunk_id"), "chunk_id")
+    after = kept.unionByName(postings.postings(changed))
+    return after.where(F.col("term") != postings.ALL).select(
+        "term", "chunk_id", "length", F.size("positions").cast("long").alias("tf"),
+        F.array_max("positions").cast("long").alias("last_position"),
+    )
+
+
+@query
+def bm25_postings(spark, sf_dir):
+    """The word and phrase questions answered from postings."""
+    index = cut(postings.postings(I.documents_as_chunks(spark, sf_dir)))
+    asked = I.word_questions(spark, sf_dir).select("query_id", "question").unionByName(
+        I.phrase_questions(spark, sf_dir).select(F.concat(F.lit("phrase "), "query_id").alias("query_id"), "question")
+    )
+    hits = lexical.lexical_top_k(index, asked, SETTINGS.lexical_top_k)
+    return _ranked(hits, "chunk_id", _rounded("bm25", 9))
+
+
 @query
 def index_file_states(spark, sf_dir):
     """File rows after a run: reused chunks are listed before embedded ones."""
@@ -629,6 +689,18 @@ def index_file_states(spark, sf_dir):
     return states.select("path", "mtime", F.col("chunk_count").cast("long").alias("chunk_count"), "content_hash")
 
 
+@query
+def index_run(spark, sf_dir):
+    """Statistics of a whole index run over the two snapshots; changed chunks are embedded."""
+    stored = _stored_chunks(spark, sf_dir)
+    change = indexing.plan_change(
+        I.plain_notes(spark, sf_dir), None, _stored_files(spark, sf_dir),
+        lambda paths: stored.join(paths.select("file_path").distinct(), "file_path", "left_semi"),
+        lambda text: embedding(text, CLIENT),
+    )
+    return change.stats
+
+
 # --- writers ---------------------------------------------------------------------------------
 
 

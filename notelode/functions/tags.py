@@ -47,9 +47,10 @@ def plain_candidates(response: Column) -> Column:
     return _non_empty(F.transform(F.split(response, r"[\n,]", -1), trim))
 
 
-def distinct_tags(candidates: Column, limit: int) -> Column:
+def distinct_tags(candidates: Column, limit: int | None) -> Column:
+    """Normalized tags without repeats, the first ``limit`` of them or all."""
     tags = F.array_distinct(_non_empty(F.transform(candidates, normalize_tag)))
-    return F.slice(tags, 1, limit)
+    return tags if limit is None else F.slice(tags, 1, limit)
 
 
 def existing_tags(tag_strings: Column, tag_text: Column) -> Column:

@@ -139,7 +139,7 @@ def drop_md(path: Column) -> Column:
 
 def relative_to(path: Column, root: str) -> Column:
     prefix = root.rstrip("/") + "/"
-    cut = F.substring(path, len(prefix) + 1, 1 << 30)
+    cut = F.substr(path, F.lit(len(prefix) + 1))
     return posix_path(F.when(path.startswith(prefix), cut).otherwise(path))
 
 
@@ -205,7 +205,7 @@ def _fold_table() -> tuple[str, str]:
     past the end of the target string, which is how ``translate`` deletes characters.
     """
     source, target, marks = [], [], []
-    for code in range(0x80, 0x20000):
+    for code in range(0x80, 0x110000):
         ch = chr(code)
         if 0xD800 <= code <= 0xDFFF:
             continue

@@ -63,7 +63,7 @@ def question_words(questions: DataFrame) -> DataFrame:
     )
 
 
-def _idf(total: Column, df: Column) -> Column:
+def idf(total: Column, df: Column) -> Column:
     raw = F.ln((total - df + 0.5) / (df + 0.5))
     return F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR))
 
@@ -171,7 +171,7 @@ def _plan_small(
         "counted",
         lambda w: F.struct(
             w["parts"].alias("parts"),
-            (w["n"] * _idf(F.lit(float(total)), w["df"])).alias("weight"),
+            (w["n"] * idf(F.lit(float(total)), w["df"])).alias("weight"),
         ),
     )
     average = F.lit(float(length) / total if total else 0.0)
@@ -213,7 +213,7 @@ def _plan_large(index: DataFrame, words: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set("term")).alias("terms"),
         F.bool_or(F.col("df").isNull()).alias("missing"),
     )
-    weight = F.col("n") * _idf(F.lit(float(total)), F.col("df"))
+    weight = F.col("n") * idf(F.lit(float(total)), F.col("df"))
     grouped = counted.groupBy("query_id").agg(
         F.bool_or(F.col("df").isNull()).alias("unknown"),
         F.sort_array(F.collect_list(F.struct("parts", weight.alias("weight")))).alias("words"),
@@ -240,8 +240,14 @@ def lexical_hits(
 ) -> DataFrame:
     """Every chunk that holds all words of a question: ``query_id, chunk_id, bm25, score``.
 
+    ``index`` has token arrays or is the stored index of postings, which is not tokenized again.
+
     ``bm25`` is what ranks (lower is better); ``score`` is the reciprocal form handed on.
     """
+    if "positions" in index.columns:
+        from .postings import hits
+
+        return hits(index, questions)
     words = question_words(questions)
     rows = small_rows(words, F.size("words") * 64, max_questions)
     if rows is None:

@@ -8,15 +8,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 # A question set is shipped to the executors only up to these sizes.
 MAX_BROADCAST_QUERIES = 2048
 MAX_BROADCAST_BYTES = 32 << 20
 SALTS = 32
 # Join keys with more rows than this are split; there can be at most rows / HOT_ROWS of them.
 HOT_ROWS = 100_000
-MAX_HOT_KEYS = 50_000
-# Scans up to this size are spread over all cores.
-MAX_SPREAD_BYTES = 256 << 20
 
 
 def small_rows(df: DataFrame, size_of: Column, max_rows: int = MAX_BROADCAST_QUERIES) -> list[Row] | None:
@@ -34,18 +33,6 @@ def small_rows(df: DataFrame, size_of: Column, max_rows: int = MAX_BROADCAST_QUE
         kept.unpersist()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small scan over all cores.
-
-    A small file is often one row group, which only one task can read. Tables above the limit
-    have splits of their own and are left alone, so nothing large is shuffled for this.
-    """
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    if int(str(stats.sizeInBytes())) > MAX_SPREAD_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def salt_of(key: Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
 
@@ -90,16 +77,11 @@ def hot_join(
 ) -> DataFrame:
     """Inner join that splits only keys with more than ``HOT_ROWS`` rows on the ``large`` side.
 
-    Unlike ``salted_join`` it copies ``small`` rows of hot keys alone, at the price of counting
-    the keys of ``large`` first. Hot keys are few by their definition; were they not, the plain
-    join is left to adaptive execution.
+    Unlike ``salted_join`` it copies ``small`` rows of hot keys alone, at the price of counting the
+    keys of ``large`` first. The counts are joined as a table, however many keys are hot.
     """
     counts = large.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS)
-    rows = small_rows(counts.select(*on), F.lit(64), MAX_HOT_KEYS)
-    if not rows:
-        return large.join(small, list(on))
-    keys = large.sparkSession.createDataFrame(rows, large.select(*on).schema)
-    hot = F.broadcast(keys.withColumn("_hot", F.lit(True)))
+    hot = cut(counts.select(*on, F.lit(True).alias("_hot")))
     slices = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0))
     )

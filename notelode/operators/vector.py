@@ -2,13 +2,13 @@
 
 Small question sets travel to the executors with the task and each partition keeps only its
 own top-k, so a scan emits ``partitions * questions * k`` rows and the chunk table is never
-shuffled. Larger sets are cut into a grid of bounded tiles, again emitting only top-k per
-tile. Both paths are exact.
+shuffled. Larger sets are cut into bounded tiles with a scan for each. Both ways are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .sizing import MAX_BROADCAST_QUERIES, small_rows, tiles, top_k
 
 # Scores are compared at this many decimals, so that the order in which a product is summed
@@ -25,7 +26,6 @@ SCORE_DECIMALS = 12
 CELLS_PER_STEP = 2_000_000
 # Scores that are no number rank behind all others and come out as NaN.
 LOWEST = -float(np.finfo(float).max)
-CHUNKS_PER_TILE = 50_000
 HIT_SCHEMA = "query_id string, key string, score double"
 
 
@@ -145,42 +145,30 @@ def _scan(chunks: DataFrame, rows: list, k: int, metric: str, per_key_max: bool)
     return chunks.select("key", "embedding", "boost").mapInArrow(score_partition, HIT_SCHEMA)
 
 
-def _grid(
-    chunks: DataFrame, questions: DataFrame, k: int, metric: str, per_key_max: bool,
-    questions_per_tile: int, chunks_per_tile: int,
+def _tiled(
+    chunks: DataFrame, questions: DataFrame, k: int, metric: str, per_key_max: bool, per_tile: int
 ) -> DataFrame:
-    """Tile the product: each task holds one bounded question tile and one chunk tile."""
-    across = tiles(questions.count(), questions_per_tile)
-    down = tiles(chunks.count(), chunks_per_tile)
+    """One scan of the chunk table for each tile of about ``per_tile`` questions.
 
-    def tile(key: str, count: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
-
-    def every(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    left = chunks.withColumn("ct", tile("chunk_id", down)).withColumn("qt", every(across))
-    right = questions.withColumn("qt", tile("query_id", across)).withColumn("ct", every(down))
-
-    def score_tile(chunk_tile: pa.Table, question_tile: pa.Table) -> pa.Table:
-        part = _Questions(*(question_tile.column(n).to_pylist() for n in ("query_id", "vector", "skip")))
-        best = _Best(part, k, metric, per_key_max)
-        for batch in chunk_tile.to_batches() if len(part.ids) else []:
-            best.add(*(batch.column(n) for n in ("key", "embedding", "boost")))
-        return pa.Table.from_batches([best.result()])
-
-    return left.groupBy("ct", "qt").cogroup(right.groupBy("ct", "qt")).applyInArrow(score_tile, HIT_SCHEMA)
+    Only a tile of questions at a time passes the driver, and no vector of a chunk is shuffled.
+    """
+    numbered = cut(questions.withColumn("tile", F.xxhash64("query_id")))
+    across = tiles(numbered.count(), per_tile)
+    scans = []
+    for number in range(across):
+        rows = numbered.where(F.pmod("tile", F.lit(across)) == number).drop("tile").collect()
+        scans.append(_scan(chunks, rows, k, metric, per_key_max))
+    return reduce(DataFrame.unionByName, scans)
 
 
 def _score(
-    chunks: DataFrame, questions: DataFrame, k: int, metric: str, per_key_max: bool,
-    max_questions: int, chunks_per_tile: int,
+    chunks: DataFrame, questions: DataFrame, k: int, metric: str, per_key_max: bool, max_questions: int
 ) -> DataFrame:
     rows = small_rows(questions, F.size("vector") * 8 + 64, max_questions)
     if rows is not None:
         hits = _scan(chunks, rows, k, metric, per_key_max)
     else:
-        hits = _grid(chunks, questions, k, metric, per_key_max, max_questions, chunks_per_tile)
+        hits = _tiled(chunks, questions, k, metric, per_key_max, max_questions)
     if per_key_max:
         hits = hits.groupBy("query_id", "key").agg(F.max("score").alias("score"))
     best = top_k(hits, ["query_id"], [F.desc("score"), F.asc("key")], k, spread="key")
@@ -201,7 +189,6 @@ def vector_top_k(
     k: int,
     boost: Column | None = None,
     max_questions: int = MAX_BROADCAST_QUERIES,
-    chunks_per_tile: int = CHUNKS_PER_TILE,
 ) -> DataFrame:
     """Best ``k`` chunks per question by dot product plus ``boost``; ties go to the lower id.
 
@@ -215,7 +202,7 @@ def vector_top_k(
         (F.lit(0.0) if boost is None else boost).cast("double").alias("boost"),
     )
     wanted = _question_columns(questions, F.lit(None))
-    hits = _score(source, wanted, k, "dot", False, max_questions, chunks_per_tile)
+    hits = _score(source, wanted, k, "dot", False, max_questions)
     return hits.withColumnRenamed("key", "chunk_id")
 
 
@@ -224,7 +211,6 @@ def related_files(
     notes: DataFrame,
     k: int,
     max_questions: int = MAX_BROADCAST_QUERIES,
-    chunks_per_tile: int = CHUNKS_PER_TILE,
 ) -> DataFrame:
     """Best ``k`` other files per note by the cosine of their closest chunk.
 
@@ -238,5 +224,5 @@ def related_files(
         F.lit(0.0).alias("boost"),
     )
     wanted = _question_columns(notes, F.replace("path", F.lit("\\"), F.lit("/")))
-    hits = _score(source, wanted, k, "cosine", True, max_questions, chunks_per_tile)
+    hits = _score(source, wanted, k, "cosine", True, max_questions)
     return hits.withColumnRenamed("key", "path")

@@ -25,7 +25,7 @@ def rows(frame):
     frame = frame[sorted(frame.columns)]
 
     def plain(value):
-        if value is None or value is not value or str(value) == "<NA>":
+        if value is None or value != value or str(value) == "<NA>":
             return None
         return value.item() if hasattr(value, "item") else value
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from notelode.config import Config, Features, Retrieval
 from notelode.functions.text import index_tokens
 from notelode.models import StandIn
-from notelode.operators import evaluate, fusion, lexical, packing, sizing
+from notelode.operators import evaluate, fusion, lexical, packing, postings, sizing
 from notelode.operators.filters import Filters
 from notelode.operators.mmr import diversify
 from notelode.operators.rerank import rerank
@@ -59,7 +59,7 @@ def pairs(df, *columns):
     return sorted(tuple(r[c] for c in ("query_id", *columns)) for r in df.collect())
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_questions": 3, "chunks_per_tile": 11}])
+@pytest.mark.parametrize("limits", [{}, {"max_questions": 3}])
 def test_vector_top_k_is_exact_on_both_paths(library, questions, limits):
     rows, chunks = library
     asked, df = questions
@@ -71,7 +71,7 @@ def test_vector_top_k_is_exact_on_both_paths(library, questions, limits):
     assert pairs(got, "chunk_id", "rank") == sorted(want)
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_questions": 3, "chunks_per_tile": 11}])
+@pytest.mark.parametrize("limits", [{}, {"max_questions": 3}])
 def test_related_files_is_exact_on_both_paths(spark, library, questions, limits):
     rows, chunks = library
     notes = [(f"f{i}.md", f"f{i}.md", questions[0][i][2]) for i in range(7)]
@@ -130,11 +130,13 @@ def brute_bm25(docs, question):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_questions": 1}])
-def test_lexical_hits_match_brute_force_on_both_paths(library, questions, limits):
+@pytest.mark.parametrize("limits", [{}, {"max_questions": 1}, None])
+def test_lexical_hits_match_brute_force_on_all_paths(library, questions, limits):
+    """Token arrays with few and many questions, and stored postings (None)."""
     rows, chunks = library
     asked, df = questions
-    hits = lexical.lexical_hits(lexical.index_chunks(chunks), df, **limits).collect()
+    index = postings.postings(chunks) if limits is None else lexical.index_chunks(chunks)
+    hits = lexical.lexical_hits(index, df, **limits or {}).collect()
     docs = [(r[0], r[3]) for r in rows]
     want = {(q, c): s for q, text, _ in asked for c, s in brute_bm25(docs, text).items()}
     got = {(r["query_id"], r["chunk_id"]): r["bm25"] for r in hits}
