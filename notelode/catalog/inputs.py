@@ -73,6 +73,22 @@ def rich_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# One line of every class that structured notes may hold; ``{}`` takes a word of the note.
+GRAMMAR_LINES = (
+    "### {}", "#### Deep {}", "##### {} five", "###### {}", "#no heading {}", "####### seven", "# Windows {}\r", "> quoted {}",
+    "> [!NOTE] {}", "> [!tip]- {}", ">[!X]", "| {} | b |", "|---|---|", "| --- | --- |", "  | {} |", "***", "- - -", "___",
+    "* * x", "~~~", "code {}", "~~~", "```js", "  ```", "\t~~~", "1. {}", "  - {}", "+ {}", "    - {}", "-{}", "\u00a0", "\r", "{}",
+)
+
+
+def grammar_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents followed by lines of every class, each with the document's language in it."""
+    lines = [F.replace(F.lit(line), F.lit("{}"), F.col("lang")) for line in GRAMMAR_LINES]
+    return table(spark, sf_dir, "documents").select(
+        doc_path().alias("file_path"), doc_mtime().alias("mtime"), F.concat_ws("\n", "text", *lines).alias("markdown")
+    )
+
+
 def turn_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as journal entries, one folder per conversation.
 

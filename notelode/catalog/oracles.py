@@ -6,7 +6,7 @@ import re
 
 from ..config import Prompts
 from ..functions.markers import BLOCK_END, BLOCK_START
-from .inputs import EPOCH, HOUR, NOW_MS
+from .inputs import EPOCH, GRAMMAR_LINES, HOUR, NOW_MS
 
 W = (
     r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}"
@@ -491,6 +491,13 @@ kinds AS (SELECT path, pos, CASE
   WHEN starts_with({trim('line')}, '```') THEN 'b' WHEN starts_with({trim('line')}, '~~~') THEN 't'
   ELSE 'p' END AS kind FROM lines)
 SELECT path AS file_path, kind, count(*) AS n, min(pos)::BIGINT AS first_line FROM kinds GROUP BY ALL"""
+_GRAMMAR = "||chr(10)||".join(["text", *(
+    "(" + "||".join(
+        {"\r": "chr(13)", "\t": "chr(9)", "\u00a0": "chr(160)"}.get(part, "lang" if part == "{}" else "'" + part + "'")
+        for part in re.split(r"(\{\}|[\r\t\u00a0])", line) if part) + ")" for line in GRAMMAR_LINES)])
+ORACLES["classify_grammar"] = ORACLES["classify_lines"].replace(
+    f"WITH {RICH},", f"WITH rich AS (SELECT {PATH} AS path, {_GRAMMAR} AS markdown FROM documents),"
+)
 ORACLES["token_counts"] = f"""
 SELECT doc_id, len({words('t')})::BIGINT AS tokens,
        CASE WHEN {trim('t')} = '' THEN 0 ELSE len(regexp_split_to_array(t, '[{W}]+')) END::BIGINT AS pieces,
@@ -649,8 +656,8 @@ SELECT chunk_id, file_path FROM stored WHERE chunk_id NOT IN (SELECT chunk_id FR
 ORACLES["index_upsert"] = f"{INDEX} SELECT chunk_id, file_path, content_hash, tokens FROM chunks"
 ORACLES["index_postings"] = f"""{INDEX},
 tokens AS (SELECT chunk_id, {terms('content')} AS toks FROM chunks),
-each AS (SELECT chunk_id, len(toks) AS length, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS at FROM tokens)
-SELECT term, chunk_id, length::BIGINT AS length, count(*) AS tf, max(at)::BIGINT AS last_position FROM each GROUP BY ALL"""
+each AS (SELECT chunk_id, len(toks) AS length, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM tokens)
+SELECT term, chunk_id, length::BIGINT AS length, count(*) AS tf, max(pos)::BIGINT AS last_position FROM each GROUP BY ALL"""
 ORACLES["index_file_states"] = f"""{INDEX}
 SELECT c.file_path AS path, max(c.mtime)::BIGINT AS mtime, count(*) AS chunk_count,
        string_agg(c.content_hash, ':' ORDER BY coalesce(s.content_hash = c.content_hash, FALSE) DESC, c.ordinal) AS content_hash

@@ -399,7 +399,16 @@ def chunk_titles_only(spark, sf_dir):
 @query
 def classify_lines(spark, sf_dir):
     """Line classes of every structured note, fences not considered."""
-    notes = I.rich_notes(spark, sf_dir)
+    return _line_classes(I.rich_notes(spark, sf_dir))
+
+
+@query
+def classify_grammar(spark, sf_dir):
+    """The same for notes that hold every class of line."""
+    return _line_classes(I.grammar_notes(spark, sf_dir))
+
+
+def _line_classes(notes):
     lines = notes.select("file_path", F.posexplode(F.split("markdown", "\n", -1)).alias("at", "line"))
     return lines.groupBy("file_path", chunking.line_kind(F.col("line")).alias("kind")).agg(
         F.count(F.lit(1)).alias("n"), F.min("at").cast("long").alias("first_line")

@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; a local one only without it."""
+    """Use the folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session, as in tests, gets a folder of its own; a cluster is refused.
+    Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have cut frames deleted when unused.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
