@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
-from .tables import table, texts
+from .tables import lean, table, texts
 from .words import LETTERS, ngrams, slices, words
 
 GRAM = 3
@@ -35,6 +35,7 @@ MAX_BROADCAST_SEEDS = 1_000_000
 ALIGN_CELLS = 2_000_000
 
 
+@lean
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(item_id, its words' hashes, hash of every run); short items have one run of all words."""
     for batch in batches:
@@ -82,6 +83,7 @@ def _runs(found, sizes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _frequencies(shipped):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = shipped.value
         total = np.zeros(len(seeds.run), np.int64)
@@ -116,6 +118,7 @@ def windows(place: np.ndarray, at: np.ndarray, length: int) -> list[tuple[int, i
 
 
 def _passages(shipped):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = shipped.value
         for batch in batches:
@@ -151,6 +154,7 @@ def _passages(shipped):
     return run
 
 
+@lean
 def _all_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every run of every document with the words around it, for seed sets too large to ship."""
     for batch in batches:
@@ -165,6 +169,7 @@ def _all_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@lean
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passages of documents that come with their hits."""
     for batch in batches:
@@ -219,6 +224,7 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return score, ends
 
 
+@lean
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         passages = [x.values.to_numpy() for x in batch.column("passage")]

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from ..operators.lineage import cut
 from .components import components
-from .tables import table
+from .tables import lean, table
 
 PIVOTS = 512
 # Vectors among which pivots are chosen; the same ones in every run.
@@ -42,6 +42,7 @@ LEAST_COSINE = 0.93
 
 
 def _prepared(kind: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Vectors as bytes and the key of their class; both null for a vector without links."""
         for batch in batches:
@@ -93,6 +94,7 @@ def choose_pivots(raw: list[bytes], kind: str, most: int = PIVOTS) -> dict[int,
 
 
 def _lists(shipped, kind: str, nearest: int, shared: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each inverted list in which a vector may meet its candidates.
 

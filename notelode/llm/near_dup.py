@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
 from .components import components
-from .tables import table, texts
+from .tables import lean, table, texts
 from .words import U64, mix, shingle_sets
 
 TREES = 32
@@ -55,6 +55,7 @@ def signature(grams: np.ndarray) -> np.ndarray:
 
 
 def _signatures(words: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, marks = [], [], []
@@ -76,6 +77,7 @@ def _signatures(words: int):
     return run
 
 
+@lean
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per tree; ``place`` is the tree's number and the text's signature in it."""
     width = 4 * DEPTH
@@ -131,6 +133,7 @@ def neighbours(place: np.ndarray, ids: np.ndarray, sizes: np.ndarray, percent: i
 
 
 def _candidates(percent: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Looks at sorted rows in stretches; a stretch ends between two regions if it can."""
         held: list[np.ndarray] | None = None
@@ -168,6 +171,7 @@ def _candidates(percent: int):
 
 
 def _sets(words: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.astype(np.int64) for s in shingle_sets(batch.column("text"), words)]

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import lean, table
 from .words import PLACES, U64, hash_spans, mix
 
 MARK = "▁"
@@ -292,6 +292,7 @@ def encode(docs: DataFrame, path: str, rate: float = RATE, seed: int = 0, varian
     kept = [c for c in docs.columns if c not in ("text", "ids")]
     shipped = docs.sparkSession.sparkContext.broadcast(load(path))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shipped.value, rate, seed)
         for batch in batches:
@@ -315,6 +316,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     kept = [c for c in encoded.columns if c != "text"]
     shipped = encoded.sparkSession.sparkContext.broadcast(load(path))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("ids")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
-from .tables import table, texts
+from .tables import lean, table, texts
 from .words import PLACES, U64, hash_spans, mix, slices, words
 
 MAX_ROWS = 16_000
@@ -96,6 +96,7 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
 LABELLERS = 9
 
 
+@lean
 def _vote_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     base = 3 ** np.arange(LABELLERS)
     for batch in batches:
@@ -173,6 +174,7 @@ WIDTH = BUCKETS + 17  # buckets, classes of length, intercept
 
 
 def _learn(state, model: LabelModel, seed: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, g = (x.copy() for x in state.value)
         ids, rows, goal = [], [], []
@@ -199,6 +201,7 @@ def _learn(state, model: LabelModel, seed: int):
 
 
 def _scores(weights):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         for batch in batches:
@@ -227,6 +230,7 @@ def quality(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     chosen = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(order, "doc_id").limit(max_rows)
     sampled = plain.join(F.broadcast(chosen), "doc_id").repartition(SHARDS, "doc_id")
 
+    @lean
     def with_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.append_column("votes", next(_vote_codes(iter([batch]))).column("votes"))

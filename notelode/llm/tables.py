@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +29,23 @@ def measured(df: DataFrame, most: int) -> DataFrame:
     """``df``, marked for a broadcast if it has at most ``most`` rows; beyond that Spark joins as it sees fit."""
     kept = cut(df)
     return F.broadcast(kept) if kept.count() <= most else kept
+
+
+def lean(run: Callable) -> Callable:
+    """A batch function whose worker gives its free memory back when the task ends.
+
+    Spark keeps Python workers for later tasks; without this each idle one holds what its largest
+    batch took, beside the executor's own memory.
+    """
+
+    @wraps(run)
+    def out(*args) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return out

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
-from .tables import table, texts
+from .tables import lean, table, texts
 from .words import LETTERS, ngrams, slices, words
 
 MAX_ROWS = 16_000
@@ -76,6 +76,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
         yield batch, own
 
 
+@lean
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features that a shard sees in two texts or more, with their numbers of texts.
 
@@ -99,6 +100,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(keys):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Labelled texts as lists of coordinates, the intercept last."""
         known = keys.value
@@ -134,6 +136,7 @@ def ftrl(rows: list[tuple[np.ndarray, float]], z: np.ndarray, n: np.ndarray, rat
 
 
 def _shard(state, rates: Rates, seed: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, n = (x.copy() for x in state.value)
         rows, ids = [], []
@@ -236,14 +239,15 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """``docs`` columns named in ``keep``, and ``score``; null texts are empty. No shuffle."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = score_texts(batch.column("_text"), shipped.value)
+            scores = score_texts(batch.column("text"), shipped.value)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(scores)], names=[*keep, "score"]
             )
 
-    source = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    source = docs.select(*keep, *([] if "text" in keep else ["text"]))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
     return source.mapInArrow(run, schema)
 

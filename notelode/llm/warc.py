@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut, ensure_checkpoint_dir
-from .tables import table
+from .tables import lean, table
 
 LEAST_SHARED = 100
 # Archives hold about so many bytes.
@@ -131,6 +131,7 @@ ENTRY = ("run string, run_at long, url_key string, captured string, page_id long
          " payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+@lean
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The captures of each archive as a sorted run."""
 
@@ -202,6 +203,7 @@ class LoserTree:
             self._play(winner)
 
 
+@lean
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges one range's parts of all runs; ``part`` and ``at`` give each capture's place."""
     rows = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
