@@ -1,7 +1,7 @@
 """Markdown folder source.
 
-The folder has to be reachable from every executor. Listing is spread over tasks by
-subdirectory and files are read one by one inside tasks, so neither the listing nor the
+The folder has to be reachable from every executor. Listing goes level by level, each one's folders
+spread over tasks, and files are read one by one inside tasks, so neither the listing nor the
 contents pass through the driver. Spark's own file index is not used because it hides names
 starting with ``_`` or ``.``, which belong to the notes here.
 """
@@ -11,16 +11,18 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators.lineage import cut
+
 # Directories that never hold notes.
 SKIPPED_DIRECTORIES = frozenset({".obsidian", ".trash", ".git"})
 _ENTRY = "path string, is_dir boolean"
-SPREAD_LEVELS = 2
 
 
 def _children(directory: str) -> Iterator[tuple[str, bool]]:
@@ -33,34 +35,34 @@ def _children(directory: str) -> Iterator[tuple[str, bool]]:
                 yield entry.path, False
 
 
-def _open_one_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for path, is_dir in batch.itertuples(index=False):
-            rows.extend(_children(path) if is_dir else [(path, False)])
-        yield pd.DataFrame(rows, columns=["path", "is_dir"])
-
+def _open_level(root: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, _ in batch.itertuples(index=False):
+                try:
+                    rows = list(_children(path))
+                except FileNotFoundError:
+                    if path == root:
+                        raise
+                    rows = []  # gone since its parent was listed
+                yield pd.DataFrame(rows, columns=["path", "is_dir"])
 
-def _open_fully(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, is_dir in batch.itertuples(index=False):
-            found, pending = [], [path] if is_dir else []
-            if not is_dir:
-                found.append(path)
-            while pending:
-                for child, child_is_dir in _children(pending.pop()):
-                    (pending if child_is_dir else found).append(child)
-            yield pd.DataFrame({"path": found}, dtype=object)
+    return run
 
 
 def list_notes(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
     """``absolute, file_path, mtime, mtime_ms, birth_ms`` of every note below ``root``."""
     root = os.path.abspath(root)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = spark.createDataFrame([(root, True)], _ENTRY)
-    for _ in range(SPREAD_LEVELS):
-        entries = entries.mapInPandas(_open_one_level, _ENTRY).repartition(parts, "path")
-    files = entries.mapInPandas(_open_fully, "path string").repartition(parts, "path")
+    folders = spark.createDataFrame([(root, True)], _ENTRY)
+    levels = []
+    while True:  # a job for each level of folders, whose folders are spread over tasks
+        opened = cut(folders.mapInPandas(_open_level(root), _ENTRY).repartition(parts, "path"))
+        levels.append(opened.where("NOT is_dir").select("path"))
+        folders = opened.where("is_dir")
+        if not folders.take(1):
+            break
+    files = reduce(DataFrame.unionByName, levels)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
