@@ -36,7 +36,7 @@ VARIANTS = 4
 # Longer chunks are segmented with a heap, one by one.
 LONG_CHUNK = 64
 # Bytes of one step; a longer text is a step of its own.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 NO_RANK = np.int32(2**31 - 1)
 DEFAULT_FILE = "piece_bpe_32k.model"
 
