@@ -1,15 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Seeds are ``GRAM``-word runs of the test items. Their rarity is their number of occurrences in all
-documents; of every ``SPREAD`` runs that follow each other in an item, the rarest is a seed. So a
-document that shares ``GRAM + SPREAD - 1`` words in a row with an item always meets one of its
-seeds, however common the item is, while common phrases are not seeds where a rarer one is near.
-Passages around seed hits are aligned with the item word by word, which scores copies with
-replaced, added or left out words. Words are letters and digits, A-Z lower-cased.
-
-Documents are read twice and never shuffled: only counts of seeds and passages around hits leave
-a task. The seeds are broadcast when there are at most ``MAX_BROADCAST_SEEDS`` (40 bytes each);
-beyond that, n-grams and seeds meet in a join.
+"""Benchmark decontamination: spaced word triples as seeds, then Smith-Waterman alignment.
+
+Seeds are triples of neighbouring words of the test items, with up to one word left out
+(``ITEM_SHAPES``); documents are searched for the same words with up to two words left out
+(``DOC_SHAPES``). Every triple is a seed, however common: an alignment of an item of nine words or
+more that reaches half the score of a verbatim copy always holds one. (Otherwise each two steps
+from match to match would hold a skipped item word and another edit, or three edits, which costs
+more than the matches give.) Passages around hits that hold enough of the item's words to reach
+the threshold are aligned with it word by word, which scores copies with replaced, added or left
+out words. Words are letters and digits, A-Z lower-cased.
+
+Documents are read once and never shuffled: only passages around hits leave a task. The seeds are
+broadcast when there are at most ``MAX_BROADCAST_SEEDS`` (40 bytes each, and 8 for each word of an
+item); beyond that, triples and seeds meet in a join.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
 from .tables import lean, table, texts
-from .words import LETTERS, ngrams, slices, words
+from .words import LETTERS, PLACES, U64, Words, mix, ngrams, slices, words
 
 GRAM = 3
-SPREAD = 3
+# Places of a seed's words, counted from its first.
+ITEM_SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+DOC_SHAPES = (*ITEM_SHAPES, (0, 1, 4), (0, 2, 4), (0, 3, 4))
 MATCH, MISMATCH, GAP = 2, -1, -1
 # Share of the score of a verbatim copy from which a document counts as contaminated.
 THRESHOLD = 0.5
@@ -35,39 +39,64 @@ MAX_BROADCAST_SEEDS = 1_000_000
 ALIGN_CELLS = 2_000_000
 
 
+def _shaped(found: Words, shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``ngrams``, of the words at these places; equal words have equal hashes in every shape."""
+    count = len(found.hashes) - shape[-1]
+    if count <= 0:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    total = np.full(count, U64(len(shape) * 31), U64)
+    for weight, shift in zip(PLACES, shape):
+        total += found.hashes[shift : shift + count] * weight
+    owner = found.owner()
+    kept = np.flatnonzero(owner[:count] == owner[shape[-1] :])
+    return mix(total[kept]), kept
+
+
+def _runs(found: Words, sizes, shapes) -> tuple[np.ndarray, np.ndarray]:
+    parts = [ngrams(found, n) for n in sizes if n < GRAM]
+    parts += [_shaped(found, shape) for shape in shapes if GRAM in sizes]
+    return np.concatenate([g for g, _ in parts]).astype(np.int64), np.concatenate([p for _, p in parts])
+
+
 @lean
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item_id, its words' hashes, hash of every run); short items have one run of all words."""
+    """(item_id, its words' hashes, its seeds and their places); short items have one of all words."""
     for batch in batches:
-        ids, own, runs = [], [], []
+        ids, own, runs, ats = [], [], [], []
         for at, to, data, edges in slices(batch.column("text")):
             found = words(data, edges, kept=LETTERS)
-            grams = {n: ngrams(found, n) for n in range(1, GRAM + 1)}
+            grams = {n: _runs(found, (n,), ITEM_SHAPES) for n in range(1, GRAM + 1)}
             for i in range(to - at):
                 low, high = found.first[i], found.first[i + 1]
                 if low == high:
                     continue
                 hashes, place = grams[min(GRAM, int(high - low))]
-                low_, high_ = np.searchsorted(place, (low, high))
+                inside = np.flatnonzero((place >= low) & (place < high))
                 ids.append(batch.column("item_id")[at + i].as_py())
                 own.append(found.hashes[low:high].astype(np.int64))
-                runs.append(hashes[low_:high_].astype(np.int64))
+                runs.append(hashes[inside])
+                ats.append(place[inside] - low)
+        many = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(runs, pa.list_(pa.int64()))],
-            names=["item_id", "item_words", "runs"],
+            [pa.array(ids, pa.int64()), pa.array(own, many), pa.array(runs, many), pa.array(ats, many)],
+            names=["item_id", "item_words", "run", "at"],
         )
 
 
 class Seeds:
-    """Sorted run hashes with where they occur in items."""
+    """Sorted seed hashes with where they occur in items, and the items' words."""
 
-    def __init__(self, rows: list):
+    def __init__(self, rows: list, items: list):
         rows = sorted(rows, key=lambda r: (r["run"], r["item_id"], r["at"]))
         column = lambda name: np.array([r[name] for r in rows], np.int64)
         self.run, self.item, self.at, self.length = map(column, ("run", "item_id", "at", "length"))
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.run & 0xFFFFF] = True
         self.sizes = sorted({min(GRAM, int(n)) for n in self.length})
+        # Of a repeated id all texts are seeds, and each is aligned.
+        self.words: dict[int, list[np.ndarray]] = {}
+        for r in items:
+            self.words.setdefault(r["item_id"], []).append(np.array(r["item_words"], np.int64))
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places in ``grams`` that are seeds, first and last posting of each)."""
@@ -77,35 +106,20 @@ class Seeds:
         return near[hit], low[hit], high[hit]
 
 
-def _runs(found, sizes) -> tuple[np.ndarray, np.ndarray]:
-    parts = [ngrams(found, n) for n in sizes]
-    return np.concatenate([g for g, _ in parts]).astype(np.int64), np.concatenate([p for _, p in parts])
-
-
-def _frequencies(shipped):
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = shipped.value
-        total = np.zeros(len(seeds.run), np.int64)
-        for batch in batches:
-            for _, _, data, edges in slices(batch.column("text")):
-                grams, _ = _runs(words(data, edges, kept=LETTERS), seeds.sizes)
-                _, low, _ = seeds.hits(grams)
-                total += np.bincount(low, minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seeds.run[seen]), pa.array(total[seen])], names=["run", "n"])
-
-    return run
+def reaches(item: np.ndarray, passage: np.ndarray, threshold: float) -> bool:
+    """Whether the passage holds so many of the item's words that their alignment may reach the threshold."""
+    return sum(map(set(passage.tolist()).__contains__, item.tolist())) >= threshold * len(item)
 
 
 def windows(place: np.ndarray, at: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Stretches of a document's words to align with one item, from its hits.
 
     Hits whose diagonals lie close together share a stretch, which spans the whole item with room
-    for added words; a stretch of repeated hits is begun anew behind three item lengths.
+    for as many added words as half the score of a verbatim copy can pay; a stretch of repeated
+    hits is begun anew behind three item lengths.
     """
     diagonal = np.sort(place - at)
-    slack = length // 2 + 2
+    slack = length
     out: list[tuple[int, int]] = []
     first = last = int(diagonal[0])
     for d in diagonal[1:].tolist():
@@ -117,7 +131,7 @@ def windows(place: np.ndarray, at: np.ndarray, length: int) -> list[tuple[int, i
     return out
 
 
-def _passages(shipped):
+def _passages(shipped, threshold: float):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = shipped.value
@@ -125,7 +139,7 @@ def _passages(shipped):
             docs, items, starts, own = [], [], [], []
             for at, to, data, edges in slices(batch.column("text")):
                 found = words(data, edges, kept=LETTERS)
-                grams, place = _runs(found, seeds.sizes)
+                grams, place = _runs(found, seeds.sizes, DOC_SHAPES)
                 hit, low, high = seeds.hits(grams)
                 if not len(hit):
                     continue
@@ -142,10 +156,13 @@ def _passages(shipped):
                     length = int(seeds.length[posting[i]])
                     for a, b in windows(where[i:j] - base, seeds.at[posting[i:j]], length):
                         a, b = max(0, a), min(int(end - base), b)
+                        passage = found.hashes[base + a : base + b].astype(np.int64)
+                        if not any(reaches(x, passage, threshold) for x in seeds.words[int(item[i])]):
+                            continue
                         docs.append(batch.column("doc_id")[at + int(owner[i])].as_py())
                         items.append(int(item[i]))
                         starts.append(a)
-                        own.append(found.hashes[base + a : base + b].astype(np.int64))
+                        own.append(passage)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(docs, pa.int64()), pa.array(items, pa.int64()), pa.array(starts, pa.int64()), pa.array(own, pa.list_(pa.int64()))],
                 names=["doc_id", "item_id", "start", "passage"],
@@ -156,11 +173,11 @@ def _passages(shipped):
 
 @lean
 def _all_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every run of every document with the words around it, for seed sets too large to ship."""
+    """Every triple and shorter run of every document, for seed sets too large to ship."""
     for batch in batches:
         for at, _, data, edges in slices(batch.column("text")):
             found = words(data, edges, kept=LETTERS)
-            grams, place = _runs(found, range(1, GRAM + 1))
+            grams, place = _runs(found, range(1, GRAM + 1), DOC_SHAPES)
             owner = np.searchsorted(found.first, place, "right") - 1
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[at + owner]
             yield pa.RecordBatch.from_arrays(
@@ -250,34 +267,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     spark = docs.sparkSession
     plain = texts(docs).where("doc_id IS NOT NULL")
     source = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where("item_id IS NOT NULL")
-    items = cut(source.mapInArrow(_item_rows, "item_id long, item_words array<long>, runs array<long>"))
-    runs = items.select(
-        "item_id", F.size("item_words").cast("long").alias("length"), F.posexplode("runs").alias("at", "run")
-    ).withColumn("at", F.col("at").cast("long"))
+    items = cut(source.mapInArrow(
+        _item_rows, "item_id long, item_words array<long>, run array<long>, at array<long>"
+    ))
+    seeds = items.select(
+        "item_id", F.size("item_words").cast("long").alias("length"), F.explode(F.arrays_zip("run", "at")).alias("s")
+    ).select("item_id", "length", "s.run", "s.at")
     schema = "doc_id long, item_id long, start long, passage array<long>"
-    shipping = runs.count() <= max_seeds
-    if shipping:
-        known = spark.sparkContext.broadcast(Seeds(runs.collect()))
-        counts = plain.select("text").mapInArrow(_frequencies(known), "run long, n long")
+    if seeds.count() <= max_seeds:
+        known = Seeds(seeds.collect(), items.select("item_id", "item_words").collect())
+        found = plain.mapInArrow(_passages(spark.sparkContext.broadcast(known), threshold), schema)
     else:
         everything = plain.mapInArrow(_all_runs, "doc_id long, run long, place long")
-        counts = everything.select("run", F.lit(1).alias("n"))
-    counts = counts.groupBy("run").agg(F.sum("n").alias("n"))
-    rated = runs.join(counts, "run", "left").groupBy("item_id", "length").agg(
-        F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), "run"))).alias("runs")
-    )
-    # Of every SPREAD runs in a row the rarest; an item with fewer runs has its rarest one.
-    first = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("runs") - SPREAD + 1))
-    rarest = F.transform(
-        first, lambda i: F.array_min(F.transform(F.slice("runs", i, SPREAD), lambda r: F.struct(r["n"], r["at"], r["run"])))
-    )
-    seeds = cut(
-        rated.select("item_id", "length", F.explode(F.array_distinct(rarest)).alias("s"))
-        .select("item_id", "length", F.col("s.at").alias("at"), F.col("s.run").alias("run"))
-    )
-    if shipping:
-        found = plain.mapInArrow(_passages(spark.sparkContext.broadcast(Seeds(seeds.collect()))), schema)
-    else:
         hits = everything.join(seeds, "run").groupBy("doc_id", "item_id", "length").agg(
             F.collect_list(F.struct("place", "at")).alias("hits")
         )

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from notelode.llm.decontaminate import align, contamination
+from notelode.llm.decontaminate import DOC_SHAPES, ITEM_SHAPES, align, contamination
 
 
 def texts(seed=4):
@@ -59,3 +59,49 @@ def test_alignment_equals_the_plain_programme():
             for j in range(len(b)):
                 h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
         assert got == h.max()
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+@pytest.mark.parametrize("verbatim", [0, 3])
+@pytest.mark.parametrize("every", [3, 4, 5])
+def test_finds_copies_with_every_nth_word_replaced(docs, frame, every, verbatim, most):
+    items = frame([(1, " ".join(f"w{i}" for i in range(41)))], "item_id long, text string")
+    edited = " ".join(f"x{i}" if i % every == every - 1 else f"w{i}" for i in range(41))
+    whole = " ".join(f"w{i}" for i in range(41))
+    rows = [(0, f"before it {edited} behind it")] + [(i + 1, f"other {whole} words") for i in range(verbatim)]
+    got = {r.doc_id: r.score for r in contamination(docs(rows), items, max_seeds=most).collect()}
+    assert sorted(got) == list(range(verbatim + 1))
+    assert 0.5 <= got[0] < 0.8 and all(got[i + 1] == 1 for i in range(verbatim))
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_finds_copies_with_added_words(docs, frame, most):
+    items = frame([(1, " ".join(f"w{i}" for i in range(30)))], "item_id long, text string")
+    single = " ".join(f"w{i} x{i}" for i in range(30))
+    double = " ".join(f"w{i}" if i % 2 == 0 else f"w{i} x{i} y{i}" for i in range(30))
+    got = contamination(docs([(1, single), (2, f"other words {double}"), (3, "w1 w2 w3 and no more")]), items, max_seeds=most)
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2]
+
+
+def test_alignments_of_half_the_score_hold_a_seed():
+    rng = random.Random(5)
+    shared = {tuple(p) for p in ITEM_SHAPES}, {tuple(p) for p in DOC_SHAPES}
+    checked = 0
+    for _ in range(20_000):
+        n, p, q = rng.randrange(9, 30), rng.random(), rng.random()
+        item, doc, pairs, at, edits = n, 0, [], 0, 0
+        while at < item:
+            if rng.random() > p:
+                pairs.append((at, doc))
+                at, doc = at + 1, doc + 1
+            else:
+                kind = rng.random()
+                at, doc = at + (kind < q), doc + (kind > q / 2)
+                edits += 1
+        if 2 * len(pairs) - edits < n:
+            continue
+        checked += 1
+        steps = lambda three, k: tuple(x[k] - three[0][k] for x in three)
+        triples = [pairs[i : i + 3] for i in range(len(pairs) - 2)]
+        assert any(steps(t, 0) in shared[0] and steps(t, 1) in shared[1] for t in triples)
+    assert checked > 3_000
