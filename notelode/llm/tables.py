@@ -31,6 +31,14 @@ def measured(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most else kept
 
 
+def give_back() -> None:
+    """Returns this process's free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def lean(run: Callable) -> Callable:
     """A batch function whose worker gives its free memory back when the task ends.
 
@@ -43,9 +51,6 @@ def lean(run: Callable) -> Callable:
         try:
             yield from run(*args)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return out

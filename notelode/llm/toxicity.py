@@ -1,9 +1,10 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are 64-bit hashes of single words, word pairs and pairs with one word left out; a
-feature counts once for a text, so long texts are not judged by their length. Only features that
-shards see twice or more, and all shards in ``MIN_TEXTS`` texts or more, get a coordinate. Every shard of the training rows runs
-FTRL-proximal with its own per-coordinate rates from the common state; after a round the states
+feature counts once for a text, so long texts are not judged by their length. Features in
+``MIN_TEXTS`` training texts or more get a coordinate, however the texts are dealt to shards: rough
+counts of all shards are added up first, and only what they cannot rule out is counted exactly.
+Every shard of the training rows runs FTRL-proximal with its own per-coordinate rates from the common state; after a round the states
 are averaged by an aggregate over coordinates. The L1 term leaves few weights other than zero,
 and those alone are shipped to the scoring pass, which reads every text once and moves none.
 
@@ -13,6 +14,7 @@ both bounds are parameters and bound all that reaches the driver or is broadcast
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,14 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
-from .tables import lean, table, texts
+from .tables import give_back, lean, table, texts
 from .words import LETTERS, ngrams, slices, words
 
 MAX_ROWS = 16_000
 MAX_FEATURES = 1 << 20
-MIN_TEXTS = 8
+MIN_TEXTS = 4
 SHARDS = 4
+# Cells of the rough counts, and of one part of them.
 ROUGH_BITS = 24
+PART_BITS = 18
 ROUNDS = 5
 THRESHOLD = 0.7
 
@@ -77,26 +81,52 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 
 @lean
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features that a shard sees in two texts or more, with their numbers of texts.
-
-    Most features occur once. A first pass over the shard's texts counts them by their low bits,
-    and the second one gathers only what it may have seen twice.
-    """
-    held = list(batches)
-    rough = np.zeros(1 << ROUGH_BITS, np.uint8)
-    low = len(rough) - 1
-    for _, rows in _distinct(iter(held)):
+def _rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of a shard by the low bits of their features, up to ``MIN_TEXTS``, in compressed parts."""
+    cells = np.zeros(1 << ROUGH_BITS, np.uint8)
+    for _, rows in _distinct(batches):
         for own in rows:
-            at = own & low
-            rough[at] = np.minimum(rough[at], 254) + 1
-    own = [x[rough[x & low] > 1] for _, rows in _distinct(iter(held)) for x in rows]
-    if own:
-        keys, n = np.unique(np.concatenate(own), return_counts=True)
-        kept = np.flatnonzero(n > 1)
-        for at in range(0, len(kept), 100_000):
-            some = kept[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(n[some])], names=["key", "n"])
+            at = own & (len(cells) - 1)
+            cells[at] = np.minimum(cells[at], MIN_TEXTS - 1) + 1
+    parts = cells.reshape(-1, 1 << PART_BITS)
+    some = np.flatnonzero(parts.any(axis=1))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(some, pa.int64()), pa.array([zlib.compress(parts[i], 1) for i in some], pa.binary())], names=["part", "cells"]
+    )
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """One part's cells that all shards together reach ``MIN_TEXTS`` in, as bits."""
+    total = np.zeros(1 << PART_BITS, np.uint8)
+    for cells in table.column("cells"):
+        total = np.minimum(total + np.frombuffer(zlib.decompress(cells.as_py()), np.uint8), MIN_TEXTS)
+    bits = np.packbits(total == MIN_TEXTS, bitorder="little").tobytes()
+    return pa.table({"part": table.column("part")[:1], "bits": pa.array([bits], pa.binary())})
+
+
+def _counts(maybe):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Features of a shard that may be common, with their numbers of texts."""
+        bits, low = maybe.value, (1 << ROUGH_BITS) - 1
+        own = [x[bits[(x & low) >> 3] >> (x & 7) & 1 > 0] for _, rows in _distinct(batches) for x in rows]
+        if own:
+            keys, n = np.unique(np.concatenate(own), return_counts=True)
+            for at in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(n[at : at + 100_000])], names=["key", "n"])
+
+    return run
+
+
+def common_features(sampled: DataFrame) -> DataFrame:
+    """(key, n) of all features in ``MIN_TEXTS`` texts or more."""
+    parts = sampled.mapInArrow(_rough, "part long, cells binary").groupBy("part").applyInArrow(_summed, "part long, bits binary")
+    bits = np.zeros((1 << ROUGH_BITS - PART_BITS, 1 << PART_BITS - 3), np.uint8)
+    for row in parts.collect():
+        bits[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    maybe = sampled.sparkSession.sparkContext.broadcast(bits.ravel())
+    counts = sampled.mapInArrow(_counts(maybe), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") >= MIN_TEXTS)
 
 
 def _rows(keys):
@@ -188,8 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rates: Rate
     if seen["ones"] in (0, seen["n"]):
         share = min(max(seen["ones"] / max(seen["n"], 1), 1e-12), 1 - 1e-12)
         return Model(none.astype(np.int64), none, float(np.log(share / (1 - share))))
-    counts = sampled.mapInArrow(_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counts = cut(counts.where(F.col("n") >= MIN_TEXTS))
+    counts = cut(common_features(sampled))
     # Where too many features are common enough, the bar rises until they fit.
     most = total = 0
     for step in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("keys")).orderBy(F.desc("n")).collect():
@@ -198,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rates: Rate
             break
         most = step["n"]
     common = counts.where(F.col("n") >= most if most else F.lit(False)).select("key")
-    keys = np.sort(common.toPandas()["key"].to_numpy(np.int64))
+    keys = np.sort(common.toArrow()["key"].to_numpy())
     if not len(keys):
         share = seen["ones"] / seen["n"]
         return Model(none.astype(np.int64), none, float(np.log(share / (1 - share))))
@@ -207,10 +236,13 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rates: Rate
     for round_ in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
         moved = rows.mapInArrow(_shard(state, rates, round_), "at long, z double, n double")
-        mean = moved.groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()
+        mean = moved.groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
         z, n = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
-        z[mean["at"]], n[mean["at"]] = mean["z"], mean["n"]
-        state.unpersist()
+        at = mean["at"].to_numpy()
+        z[at], n[at] = mean["z"].to_numpy(), mean["n"].to_numpy()
+        del moved, mean
+        state.destroy()
+        give_back()
     w = weights_of(z, n, rates)
     kept = np.flatnonzero(w[:-1])
     return Model(keys[kept], w[kept], float(w[-1]))

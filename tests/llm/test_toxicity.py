@@ -73,3 +73,15 @@ def test_repeated_features_count_once():
     model = Model(grams.astype(np.int64), np.array([2.0]), -1.0)
     one, many = score_texts(pa.array(["grub", "GRUB grub. grub"]), model)
     assert one == many == 1 / (1 + np.exp(-1.0))
+
+
+def test_words_of_four_training_texts_are_learned_whatever_shard_they_are_in(docs, frame):
+    ids = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(20)) + (f" bad{k // 4}" if k < 80 else "")) for k, i in enumerate(ids)]
+    labels = frame([(i, int(k < 80)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    model = train(docs(rows), labels)
+    data = " ".join(f"bad{k}" for k in range(20)).encode()
+    (grams, _), *_ = toxicity.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    weight = dict(zip(model.keys.tolist(), model.weights))
+    assert all(weight.get(g, 0) > 0 for g in grams.astype(np.int64).tolist())
