@@ -3,12 +3,13 @@
 The vocabulary of a merge-type (BPE) model file is read, never trained. Segmentation follows the
 merge agenda: of all neighbouring symbols whose union is a piece, the best-ranked pair is merged
 first, the leftmost on a tie. With dropout, a candidate is skipped when a keyed hash of the seed,
-the text's variant, the chunk and the candidate's span falls below the rate; so the same seed gives
-the same segmentation anywhere, another seed or variant another one, and rate 0 the model's own.
+the text's doc_id, the chunk, its place in the text and the candidate's span falls below the rate;
+so the same seed gives the same segmentation anywhere, another seed, document or place another one,
+and rate 0 the model's own.
 
 No piece holds a space behind another character, so a text falls into chunks at spaces that are
-segmented alone. Equal chunks of a slice are segmented once, and the agendas of all its chunks
-advance together in array steps; long chunks have an agenda of their own with a heap.
+segmented alone. Without dropout, equal chunks of a slice are segmented once; with it, each
+occurrence is. The agendas of a slice's chunks advance together in array steps; long chunks have an agenda of their own with a heap.
 
 Characters without a piece become byte pieces. The space mark itself, when a text contains it, is
 written in bytes too, so decoding restores every text exactly.
@@ -31,8 +32,6 @@ from .words import PLACES, U64, hash_spans, mix
 
 MARK = "▁"
 RATE = 0.1
-# Texts are dealt to so many variants by their doc_id.
-VARIANTS = 4
 # Longer chunks are segmented with a heap, one by one.
 LONG_CHUNK = 64
 # Bytes of one step; a longer text is a step of its own.
@@ -236,7 +235,10 @@ class Encoder:
         first = np.flatnonzero(new)
         last = np.r_[first[1:], len(code)]
         owner = np.searchsorted(text_at, first, "right") - 1
-        hashes = mix(hash_spans(code, first, last) + variants[owner].astype(U64) * PLACES[4])
+        hashes = hash_spans(code, first, last)
+        if self.bound:
+            place = (first - text_at[owner]).astype(U64)
+            hashes = mix(hashes + variants[owner].astype(U64) * PLACES[4] + place * PLACES[5])
         _, which, back = np.unique(hashes, return_index=True, return_inverse=True)
         length = (last - first)[which]
         symbols, starts, chunk = [], [], []
@@ -280,7 +282,7 @@ def _steps(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def encode(docs: DataFrame, path: str, rate: float = RATE, seed: int = 0, variants: int = VARIANTS,
+def encode(docs: DataFrame, path: str, rate: float = RATE, seed: int = 0,
            decoded: bool = False) -> DataFrame:
     """``docs`` with ``ids`` array<int> in place of ``text``; a null or empty text has no ids.
 
@@ -305,7 +307,7 @@ def encode(docs: DataFrame, path: str, rate: float = RATE, seed: int = 0, varian
                     out.append(pa.array(decode_ids(shipped.value, ids, counts), pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=[*kept, "ids", "text"][: len(out)])
 
-    variant = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(variants)), F.lit(0))
+    variant = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.xxhash64("doc_id"))
     source = docs.select(*kept, F.coalesce("text", F.lit("")).alias("_text"), variant.alias("_variant"))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "ids array<int>"])
     return source.mapInArrow(run, f"{schema}, text string" if decoded else schema)

@@ -63,3 +63,12 @@ def test_tables(docs):
     both = encode(source, model_path(), decoded=True).select(*read.columns).collect()
     assert sorted(map(str, both)) == sorted(map(str, got))
     assert decode(encode(source.limit(0), model_path()), model_path()).count() == 0
+
+
+def test_every_occurrence_and_document_has_its_own_dropout(vocabulary, docs):
+    ids, counts = Encoder(vocabulary, 0.2).encode([" ".join(["segmentation"] * 300)], np.zeros(1, int))
+    spelled = [vocabulary.spelled[vocabulary.spelled_at[i] : vocabulary.spelled_at[i + 1]].tobytes() for i in ids]
+    cuts = "|".join(x.decode() for x in spelled).split(" ")
+    assert len({c.strip("|") for c in cuts}) > 10
+    read = encode(docs([(i, "a longer segmentation of words") for i in range(100)]), model_path(), 0.2).collect()
+    assert len({tuple(r.ids) for r in read}) > 20
