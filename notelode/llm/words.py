@@ -44,7 +44,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` powers at least of the rolling hash's base, and of its inverse."""
     if len(_powers[0]) < n:
         size = max(n, SLICE_BYTES)
         for at, base in enumerate((_BASE, _INVERSE)):
@@ -102,7 +103,7 @@ def words(data: np.ndarray, edges: np.ndarray, fold: bool = True, kept: np.ndarr
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the byte strings ``data[start:end]``; equal strings have equal hashes."""
     n = len(data)
-    power, inverse = _power(n + 1)
+    power, inverse = powers(n + 1)
     total = np.zeros(n + 1, U64)
     terms = data.astype(U64)
     terms += U64(1)
