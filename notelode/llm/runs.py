@@ -200,18 +200,18 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH RECURSIVE docs AS (
   SELECT row_number() OVER () AS d, doc_id, CAST(doc_id AS VARCHAR) AS name,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS own
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS own
   FROM documents),
 hashed AS (
-  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(name)), i -> ascii(name[i + 1])::BIGINT)),
-    (c, b) -> list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], (x, z) -> xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT) AS h
+  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(name)), lambda i: ascii(name[i + 1])::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT) AS h
   FROM docs),
 placed AS (SELECT *, h // 10 AS g, len(own) AS n FROM hashed),
 cut AS (SELECT *, CASE WHEN n > 0 AND h % 10 = 0 THEN g % n END AS a FROM placed),
 bent AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM cut),
 made AS (
   SELECT d, doc_id, CASE WHEN a IS NULL THEN own
-    ELSE list_transform(range(n), i -> own[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w
+    ELSE list_transform(range(n), lambda i: own[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w
   FROM bent),
 grams AS (
   SELECT d, i, w[i + 1 : i + 6] AS gram FROM (SELECT d, w, unnest(range(len(w) - 5)) AS i FROM made WHERE len(w) >= 12)),
@@ -226,15 +226,15 @@ best AS (
          string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
   FROM runs GROUP BY d),
 edges AS (
-  SELECT d, at, sum(v) AS v FROM (
-    SELECT d, start + period AS at, 1 AS v FROM runs UNION ALL SELECT d, start + length, -1 FROM runs) GROUP BY d, at),
+  SELECT d, spot, sum(v) AS v FROM (
+    SELECT d, start + period AS spot, 1 AS v FROM runs UNION ALL SELECT d, start + length, -1 FROM runs) GROUP BY d, spot),
 covers AS (
-  SELECT d, at, sum(v) OVER (PARTITION BY d ORDER BY at) AS depth,
-         lead(at) OVER (PARTITION BY d ORDER BY at) AS until FROM edges),
-gone AS (SELECT d, list((at, until)) AS spans FROM covers WHERE depth > 0 GROUP BY d),
+  SELECT d, spot, sum(v) OVER (PARTITION BY d ORDER BY spot) AS depth,
+         lead(spot) OVER (PARTITION BY d ORDER BY spot) AS until FROM edges),
+gone AS (SELECT d, list((spot, until)) AS spans FROM covers WHERE depth > 0 GROUP BY d),
 kept AS (
   SELECT made.d, CASE WHEN spans IS NULL THEN w
-    ELSE list_transform(list_filter(range(len(w)), i -> len(list_filter(spans, s -> i >= s[1] AND i < s[2])) = 0), i -> w[i + 1]) END AS w
+    ELSE list_transform(list_filter(range(len(w)), lambda i: len(list_filter(spans, lambda s: i >= s[1] AND i < s[2])) = 0), lambda i: w[i + 1]) END AS w
   FROM made LEFT JOIN gone USING (d))
 SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b[2]::BIGINT AS start, (-b[1])::BIGINT AS length, b[3]::BIGINT AS period,
   (-b[1] * 1000 // b[3])::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
