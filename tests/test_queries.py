@@ -2,6 +2,7 @@
 
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as contract
@@ -25,7 +26,7 @@ def rows(frame):
     frame = frame[sorted(frame.columns)]
 
     def plain(value):
-        if value is None or value != value or str(value) == "<NA>":
+        if value is None or value is pd.NA or value != value:
             return None
         return value.item() if hasattr(value, "item") else value
 
