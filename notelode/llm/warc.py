@@ -31,6 +31,8 @@ ARCHIVE_BYTES = 64 << 20
 # Page numbers of revisits are broadcast up to this number (16 bytes each), joined beyond it.
 MAX_BROADCAST_REVISITS = 1_000_000
 FIRST_SECOND = 1_704_067_200
+# Capture times repeat after so many page numbers (about 127 years), so years keep four digits.
+SPAN = 4_000_000_000
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -54,7 +56,7 @@ def _records(pages: DataFrame) -> DataFrame:
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     id_ = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     address = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    date = F.date_format(F.timestamp_seconds(F.lit(FIRST_SECOND) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.date_format(F.timestamp_seconds(F.lit(FIRST_SECOND) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SPAN))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = F.concat(
         F.lit("WARC/1.0\r\n"),
         _header("WARC-Type", F.when(revisit, "revisit").otherwise("response")),

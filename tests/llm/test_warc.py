@@ -63,3 +63,14 @@ def test_loser_tree_merges_any_runs():
 def test_url_keys():
     assert url_key("http://WWW.b.org:80/A?b#c") == "org:80,b,www)/A?b#c"
     assert url_key(None) == ")" and url_key("plain") == ")plain"
+
+
+def test_page_numbers_of_any_size(frame, spark):
+    folder = shared_folder(spark)
+    ids = [2**63 - 1, -(2**63), 2**62, 0, -1]
+    write_archives(frame([(i, "http://a.org/", "same " * 40) for i in ids], "page_id long, url string, html string"), folder)
+    got = {r.page_id: r for r in read_histories(spark, folder).collect()}
+    assert set(got) == set(ids)
+    assert [i for i in ids if got[i].record_type == "response"] == [-(2**63)]
+    assert all(r.refers_to == -(2**63) for i, r in got.items() if i != -(2**63))
+    assert all(len(r.captured) == 20 for r in got.values())
