@@ -143,6 +143,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "wrong_turn",
     )
 
 
@@ -162,7 +163,15 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
     coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(length('<|im_start|>' || role || chr(10) || '<|im_end|>' || chr(10)) + length(text)
-        + length(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars
-FROM rows GROUP BY conv_id
+        + length(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars, any_value(wrong_turn) AS wrong_turn
+FROM rows JOIN (
+    SELECT conv_id, coalesce(min(place) FILTER (before || '>' || role NOT IN ('>system', '>user', 'system>user', 'user>assistant',
+            'assistant>user', 'assistant>tool', 'tool>assistant')),
+        max(place + 1) FILTER (behind IS NULL AND role NOT IN ('assistant', 'user')))::BIGINT AS wrong_turn
+    FROM (
+        SELECT conv_id, role, row_number() OVER w - 1 AS place, coalesce(lag(role) OVER w, '') AS before, lead(role) OVER w AS behind
+        FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+    GROUP BY conv_id
+) USING (conv_id) GROUP BY conv_id
 """,
 }
