@@ -1,20 +1,19 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are 64-bit hashes of single words, word pairs and pairs with one word left out; a
-feature counts once for a text, so long texts are not judged by their length. Features in
-``MIN_TEXTS`` training texts or more get a coordinate, however the texts are dealt to shards: rough
-counts of all shards are added up first, and only what they cannot rule out is counted exactly.
-Every shard of the training rows runs FTRL-proximal with its own per-coordinate rates from the common state; after a round the states
-are averaged by an aggregate over coordinates. The L1 term leaves few weights other than zero,
-and those alone are shipped to the scoring pass, which reads every text once and moves none.
-
-Training reads at most ``MAX_ROWS`` labelled rows and keeps at most ``MAX_FEATURES`` coordinates:
-both bounds are parameters and bound all that reaches the driver or is broadcast.
+feature counts once for a text, so long texts are not judged by their length. Every feature of the
+training texts has a coordinate of its own; none is counted or dropped beforehand. The training
+rows are dealt to shards of about ``SHARD_ROWS``. A shard goes over its rows ``PASSES`` times with
+its own per-coordinate rates, from the common state, and sends only what the L1 term left with a
+weight other than zero, as a difference to that state. The differences of a coordinate are averaged over
+the shards that send it. So what is sent and broadcast follows the learned weights, not the
+features seen; the scoring pass reads every text once and moves none.
+
+Training reads at most ``MAX_ROWS`` labelled rows, a parameter; that bounds a shard's memory.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,21 +27,24 @@ from .tables import give_back, lean, table, texts
 from .words import LETTERS, ngrams, slices, words
 
 MAX_ROWS = 16_000
-MAX_FEATURES = 1 << 20
-MIN_TEXTS = 4
-SHARDS = 4
-# Cells of the rough counts, and of one part of them.
-ROUGH_BITS = 24
-PART_BITS = 18
-ROUNDS = 5
+SHARD_ROWS = 4000
+# Tasks that the training texts are read into.
+SPREAD = 8
+ROUNDS = 2
+PASSES = 3
+# The key of the intercept among those of features.
+INTERCEPT = -1
 THRESHOLD = 0.7
 
 
 @dataclass(frozen=True)
 class Rates:
-    alpha: float = 5.0
+    """Learning rates and penalties. A text moves a coordinate by less than 1 in a pass, so with
+    ``l1`` at the number of all passes no feature of a single training text keeps a weight."""
+
+    alpha: float = 20.0
     beta: float = 1.0
-    l1: float = 2.0
+    l1: float = 6.0
     l2: float = 0.0
 
 
@@ -80,75 +82,6 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
         yield batch, own
 
 
-@lean
-def _rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of a shard by the low bits of their features, up to ``MIN_TEXTS``, in compressed parts."""
-    cells = np.zeros(1 << ROUGH_BITS, np.uint8)
-    for _, rows in _distinct(batches):
-        for own in rows:
-            at = own & (len(cells) - 1)
-            cells[at] = np.minimum(cells[at], MIN_TEXTS - 1) + 1
-    parts = cells.reshape(-1, 1 << PART_BITS)
-    some = np.flatnonzero(parts.any(axis=1))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(some, pa.int64()), pa.array([zlib.compress(parts[i], 1) for i in some], pa.binary())], names=["part", "cells"]
-    )
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    """One part's cells that all shards together reach ``MIN_TEXTS`` in, as bits."""
-    total = np.zeros(1 << PART_BITS, np.uint8)
-    for cells in table.column("cells"):
-        total = np.minimum(total + np.frombuffer(zlib.decompress(cells.as_py()), np.uint8), MIN_TEXTS)
-    bits = np.packbits(total == MIN_TEXTS, bitorder="little").tobytes()
-    return pa.table({"part": table.column("part")[:1], "bits": pa.array([bits], pa.binary())})
-
-
-def _counts(maybe):
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Features of a shard that may be common, with their numbers of texts."""
-        bits, low = maybe.value, (1 << ROUGH_BITS) - 1
-        own = [x[bits[(x & low) >> 3] >> (x & 7) & 1 > 0] for _, rows in _distinct(batches) for x in rows]
-        if own:
-            keys, n = np.unique(np.concatenate(own), return_counts=True)
-            for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(n[at : at + 100_000])], names=["key", "n"])
-
-    return run
-
-
-def common_features(sampled: DataFrame) -> DataFrame:
-    """(key, n) of all features in ``MIN_TEXTS`` texts or more."""
-    parts = sampled.mapInArrow(_rough, "part long, cells binary").groupBy("part").applyInArrow(_summed, "part long, bits binary")
-    bits = np.zeros((1 << ROUGH_BITS - PART_BITS, 1 << PART_BITS - 3), np.uint8)
-    for row in parts.collect():
-        bits[row["part"]] = np.frombuffer(row["bits"], np.uint8)
-    maybe = sampled.sparkSession.sparkContext.broadcast(bits.ravel())
-    counts = sampled.mapInArrow(_counts(maybe), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") >= MIN_TEXTS)
-
-
-def _rows(keys):
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Labelled texts as lists of coordinates, the intercept last."""
-        known = keys.value
-        for batch, own in _distinct(batches):
-            rows = []
-            for grams in own:
-                at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                rows.append(np.r_[at[known[at] == grams], len(known)].astype(np.int32))
-            ends = np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int32)
-            values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
-                names=["doc_id", "label", "own"],
-            )
-
-    return run
-
-
 def weights_of(z: np.ndarray, n: np.ndarray, rates: Rates) -> np.ndarray:
     shrunk = np.sign(z) * np.maximum(np.abs(z) - rates.l1, 0)
     return -shrunk / ((rates.beta + np.sqrt(n)) / rates.alpha + rates.l2)
@@ -165,24 +98,35 @@ def ftrl(rows: list[tuple[np.ndarray, float]], z: np.ndarray, n: np.ndarray, rat
         n[own] = ni + gradient * gradient
 
 
-def _shard(state, rates: Rates, seed: int):
+def _shard(state, rates: Rates, round_: int, passes: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, n = (x.copy() for x in state.value)
-        rows, ids = [], []
-        for batch in batches:
-            column = batch.column("own")
-            at, edges = column.values.to_numpy(), column.offsets.to_numpy()
+        """What a shard's rows change in the common state (keys, z, n), for weights other than zero."""
+        known, z0, n0 = state.value
+        own, ids, labels = [], [], []
+        for batch, rows in _distinct(batches):
+            own += rows
             ids += batch.column("doc_id").to_pylist()
-            rows += [(at[i:j], label) for i, j, label in zip(edges, edges[1:], batch.column("label").to_pylist())]
-        if not rows:
+            labels += batch.column("label").to_pylist()
+        if not own:
             return
+        keys = np.unique(np.concatenate([*own, np.array([INTERCEPT])]))
+        last = np.searchsorted(keys, INTERCEPT)
+        rows = [np.append(np.searchsorted(keys, x), last) for x in own]
+        z, n = np.zeros(len(keys)), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(keys, known), len(keys) - 1)
+        held = keys[at] == known
+        z[at[held]], n[at[held]] = z0[held], n0[held]
+        before, seen = z.copy(), n.copy()
         # The order depends on the rows alone, so a task that is run again gives the same state.
-        order = np.argsort(np.array(ids), kind="stable")[np.random.default_rng(seed).permutation(len(rows))]
-        ftrl([rows[i] for i in order], z, n, rates)
-        moved = np.flatnonzero(n)
+        by_id = np.argsort(np.array(ids), kind="stable")
+        for pass_ in range(passes):
+            order = by_id[np.random.default_rng((round_, pass_)).permutation(len(rows))]
+            ftrl([(rows[i], labels[i]) for i in order], z, n, rates)
+        sent = np.abs(z) > rates.l1
+        sent[at[held]] = sent[last] = True
         yield pa.RecordBatch.from_arrays(
-            [pa.array(moved), pa.array(z[moved]), pa.array(n[moved])], names=["at", "z", "n"]
+            [pa.array(keys[sent]), pa.array((z - before)[sent]), pa.array((n - seen)[sent])], names=["key", "z", "n"]
         )
 
     return run
@@ -204,7 +148,7 @@ def held_out():
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rates: Rates = Rates(),
-          max_rows: int = MAX_ROWS, rounds: int = ROUNDS) -> Model:
+          max_rows: int = MAX_ROWS, rounds: int = ROUNDS, passes: int = PASSES) -> Model:
     """Fit on labelled rows of ``docs``.
 
     With no label, or one class only, the model has no weights and scores every text alike: 0
@@ -212,40 +156,31 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rates: Rate
     """
     spark = docs.sparkSession
     chosen = labelled(labels, column, max_rows)
-    sampled = cut(texts(docs).join(F.broadcast(chosen), "doc_id").repartition(SHARDS, "doc_id"))
+    sampled = cut(texts(docs).join(F.broadcast(chosen), "doc_id").repartition(SPREAD, "doc_id"))
     seen = sampled.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("ones")).first()
     none = np.zeros(0)
     if seen["ones"] in (0, seen["n"]):
         share = min(max(seen["ones"] / max(seen["n"], 1), 1e-12), 1 - 1e-12)
         return Model(none.astype(np.int64), none, float(np.log(share / (1 - share))))
-    counts = cut(common_features(sampled))
-    # Where too many features are common enough, the bar rises until they fit.
-    most = total = 0
-    for step in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("keys")).orderBy(F.desc("n")).collect():
-        total += step["keys"]
-        if total > MAX_FEATURES:
-            break
-        most = step["n"]
-    common = counts.where(F.col("n") >= most if most else F.lit(False)).select("key")
-    keys = np.sort(common.toArrow()["key"].to_numpy())
-    if not len(keys):
-        share = seen["ones"] / seen["n"]
-        return Model(none.astype(np.int64), none, float(np.log(share / (1 - share))))
-    z, n = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
-    rows = cut(sampled.mapInArrow(_rows(spark.sparkContext.broadcast(keys)), "doc_id long, label double, own array<int>"))
+    shards = sampled.coalesce(-(-seen["n"] // SHARD_ROWS))
+    keys, z, n = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
     for round_ in range(rounds):
-        state = spark.sparkContext.broadcast((z, n))
-        moved = rows.mapInArrow(_shard(state, rates, round_), "at long, z double, n double")
-        mean = moved.groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
-        z, n = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
-        at = mean["at"].to_numpy()
-        z[at], n[at] = mean["z"].to_numpy(), mean["n"].to_numpy()
-        del moved, mean
+        state = spark.sparkContext.broadcast((keys, z, n))
+        moved = shards.mapInArrow(_shard(state, rates, round_, passes), "key long, z double, n double")
+        mean = moved.groupBy("key").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow().sort_by("key")
+        both = np.union1d(keys, mean["key"].to_numpy())
+        old, new = np.searchsorted(both, keys), np.searchsorted(both, mean["key"].to_numpy())
+        sums = [np.zeros(len(both)), np.zeros(len(both))]
+        for total, before, more in zip(sums, (z, n), ("z", "n")):
+            total[old] = before
+            total[new] += mean[more].to_numpy()
+        keys, (z, n) = both, sums
         state.destroy()
-        give_back()
+    give_back()
     w = weights_of(z, n, rates)
-    kept = np.flatnonzero(w[:-1])
-    return Model(keys[kept], w[kept], float(w[-1]))
+    last = np.searchsorted(keys, INTERCEPT)
+    kept = np.setdiff1d(np.flatnonzero(w), last)
+    return Model(keys[kept], w[kept], float(w[last]))
 
 
 def score_texts(column: pa.Array, model: Model) -> np.ndarray:
