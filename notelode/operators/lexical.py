@@ -186,6 +186,29 @@ def _candidates_small(index: DataFrame, plans: DataFrame, probes: list[str]) ->
     return index.withColumn("probe", F.explode(hit)).join(F.broadcast(plans), "probe")
 
 
+def _phrase_documents(index: DataFrame, phrases: DataFrame, df: DataFrame) -> DataFrame:
+    """``parts, df`` of phrases: places of all their parts, less the part's own place, meet by chunk.
+
+    Only places of words that some phrase has are exploded, and token arrays are not copied.
+    """
+    parts = phrases.select("parts", F.posexplode("parts").alias("k", "term"))
+    known = parts.join(df.select("term"), "term", "left_semi")
+    wanted = known.select("term").distinct()
+    at = index.select("chunk_id", F.posexplode("doc_tokens").alias("at", "term")).join(wanted, "term", "left_semi")
+    # Only chunks that hold the rarest part bring the places of the others.
+    probes = parts.join(df, "term", "left").groupBy("parts").agg(
+        F.min_by("term", F.struct("df", "term")).alias("term"), F.bool_or(F.col("df").isNull()).alias("missing")
+    ).where(~F.col("missing")).drop("missing")
+    near = salted_join(at.select("chunk_id", "term").distinct(), probes, ["term"], "chunk_id").drop("term")
+    pairs = near.withColumn("part", F.explode(F.transform("parts", lambda p, k: F.struct(k.alias("k"), p.alias("term")))))
+    pairs = pairs.select("parts", "chunk_id", F.col("part.k").alias("k"), F.col("part.term").alias("term"))
+    begun = pairs.join(at, ["chunk_id", "term"]).groupBy("parts", "chunk_id", (F.col("at") - F.col("k")).alias("first")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    held = begun.where(F.col("n") == F.size("parts")).select("parts", "chunk_id").distinct()
+    return held.groupBy("parts").agg(F.count(F.lit(1)).alias("df"))
+
+
 def _plan_large(index: DataFrame, words: DataFrame) -> DataFrame:
     """The same table as ``_plan_small`` built by joins, for question sets of any size."""
     each = words.select("query_id", F.explode("words").alias("parts"))
@@ -197,14 +220,7 @@ def _plan_large(index: DataFrame, words: DataFrame) -> DataFrame:
     total, length = totals["total"], totals["length"] or 0
     df = _document_frequencies(index, terms).select("term", "df")
     phrases = each.where(F.size("parts") > 1).select("parts").distinct()
-    first = phrases.withColumn("term", F.get("parts", F.lit(0)))
-    by_term = index.select("chunk_id", "doc_tokens", F.explode(F.array_distinct("doc_tokens")).alias("term"))
-    phrase_df = (
-        salted_join(by_term, first, ["term"], "chunk_id")
-        .where(_occurrences(F.col("doc_tokens"), F.col("parts")) > 0)
-        .groupBy("parts")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
+    phrase_df = _phrase_documents(index, phrases, df)
     singles = df.select(F.array("term").alias("parts"), "df")
     counted = each.join(singles.unionByName(phrase_df), "parts", "left")
     parts = each.select("query_id", F.explode("parts").alias("term")).distinct().join(df, "term", "left")
@@ -272,6 +288,10 @@ def lexical_top_k(
     max_questions: int = MAX_BROADCAST_QUERIES,
 ) -> DataFrame:
     """Best ``k`` hits per question. Filters apply to this result, after the cut."""
+    if "positions" in index.columns:
+        from .postings import best_hits
+
+        return best_hits(index, questions, k)
     hits = lexical_hits(index, questions, max_questions)
     order = [F.asc(F.round("bm25", 12)), F.asc("chunk_id")]
     return top_k(hits, ["query_id"], order, k, spread="chunk_id")

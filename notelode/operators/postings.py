@@ -1,26 +1,41 @@
-"""The stored lexical index: a posting row for each term and chunk.
+"""The stored lexical index: a posting row for each term and chunk, and its statistics.
 
-A row holds the chunk's length beside the term's positions, so a search reads postings alone; the
-row of the empty term stands for the chunk itself and gives the corpus statistics. Tables are
-sorted by term, so a scan for a few terms skips most of a file. A search reads the postings of each
-question's rarest term first; the other terms only meet the chunks that are left.
+A row holds the chunk's length and the term's frequency beside its positions, so a search reads
+postings alone; the row of the empty term stands for the chunk itself. ``impact`` is a class of what
+the row can add to a score. Tables are sorted by term and falling impact, so a scan for a few terms
+and the upper classes of each skips the other pages of a file, positions included. ``statistics``
+counts a table by term and class; the counts of parts of an index add up.
+
+A ranked search bounds every class by its largest frequency and least length, scores the
+upper classes first, and then reads only classes that can still reach the k-th score.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .lexical import B, K1, idf, question_words
 from .lineage import cut
-from .sizing import salted_join
+from .sizing import salted_join, top_k
 
 ALL = ""
+IMPACTS = 16
+# Length at which a class is chosen; bounds use the lengths of its rows and the corpus' mean.
+USUAL_LENGTH = 200
+# Up to this many terms are named in the filter of a scan; more of them are joined.
+MAX_NAMED_TERMS = 256
+# A first look reads the upper classes that hold this many postings for each hit wanted.
+FIRST_LOOK = 8
+SLACK = 1e-9
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """``term, chunk_id, file_path, length, positions`` of ``chunk_id, file_path, content`` rows."""
+    """``term, chunk_id, file_path, length, positions, tf, impact`` of ``chunk_id, file_path, content`` rows."""
     tokens = chunks.select("chunk_id", "file_path", T.index_tokens(F.col("content")).alias("tokens"))
     sized = tokens.withColumn("length", F.size("tokens").cast("long"))
     each = sized.select("chunk_id", "file_path", "length", F.posexplode("tokens").alias("at", "term"))
@@ -30,21 +45,77 @@ def postings(chunks: DataFrame) -> DataFrame:
     whole = sized.select(
         F.lit(ALL).alias("term"), "chunk_id", "file_path", "length", F.array().cast("array<int>").alias("positions")
     )
-    return found.unionByName(whole)
+    tf = F.size("positions")
+    share = tf / (tf + K1 * (1 - B + B * F.col("length") / USUAL_LENGTH))
+    return found.unionByName(whole).withColumn("tf", tf).withColumn("impact", F.floor(IMPACTS * share).cast("int"))
+
+
+def statistics(index: DataFrame, *by: str) -> DataFrame:
+    """``term, impact, df, cf, length, most, least``: postings, occurrences, lengths, largest tf, least length."""
+    return index.groupBy(*by, "term", "impact").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.sum("length").alias("length"),
+        F.max("tf").alias("most"), F.min("length").alias("least"),
+    )
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """Statistics of an index from those of its parts."""
+    return parts.groupBy("term", "impact").agg(
+        *(F.sum(c).alias(c) for c in ("df", "cf", "length")), F.max("most").alias("most"), F.min("least").alias("least")
+    )
+
+
+def _named(df: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows of ``terms``, by a filter that reaches the scan as long as they are few."""
+    rows = terms.select("term").distinct().limit(MAX_NAMED_TERMS + 1).collect()
+    if len(rows) <= MAX_NAMED_TERMS:
+        return df.where(F.col("term").isin([r["term"] for r in rows]))
+    return df.join(terms.select("term").distinct(), "term", "left_semi")
+
+
+def _above(index: DataFrame, floors: DataFrame) -> DataFrame:
+    """Postings whose impact reaches the ``floor`` of their ``term``."""
+    rows = floors.limit(MAX_NAMED_TERMS + 1).collect()
+    if len(rows) <= MAX_NAMED_TERMS:
+        each = [(F.col("term") == r["term"]) & (F.col("impact") >= r["floor"]) for r in rows]
+        return index.where(reduce(or_, each) if each else F.lit(False))
+    return index.join(floors, "term").where(F.col("impact") >= F.col("floor")).drop("floor")
 
 
 def _phrase_count(places: Column, parts: Column) -> Column:
     """How often the parts follow each other, from a map of positions by term."""
-    first = F.element_at(places, F.get(parts, F.lit(0)))
-    return F.size(
-        F.filter(
-            first,
-            lambda at: F.forall(
-                F.sequence(F.lit(0), F.size(parts) - 1),
-                lambda k: F.array_contains(F.element_at(places, F.get(parts, k)), at + k),
-            ),
-        )
+    shifted = F.transform(parts, lambda part, k: F.transform(F.element_at(places, part), lambda at: at - k))
+    first = F.get(shifted, F.lit(0))
+    return F.size(F.aggregate(shifted, first, lambda both, more: F.array_intersect(both, more)))
+
+
+def _rarest(words: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """``key, probe, terms`` of (key, term) rows whose terms all occur; the probe is the rarest."""
+    known = words.join(counts, "term", "left").groupBy(key).agg(
+        F.min_by("term", F.struct("df", "term")).alias("probe"), F.collect_set("term").alias("terms"),
+        F.bool_or(F.col("df").isNull()).alias("missing"),
     )
+    return known.where(~F.col("missing")).drop("missing")
+
+
+def phrase_hits(index: DataFrame, phrases: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """``parts, chunk_id, tf`` of chunks that hold the words of ``parts`` one behind the other.
+
+    Chunks come from the rarest part; there the places of all parts, each less its place in the phrase,
+    meet at the places where the phrase begins. ``counts`` has ``term, df``.
+    """
+    wanted = phrases.select("parts").distinct()
+    terms = wanted.select("parts", F.explode(F.array_distinct("parts")).alias("term"))
+    index = _named(index, terms)
+    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if counts is None else counts
+    probed = cut(_rarest(terms, "parts", counts))
+    near = salted_join(index.select("term", "chunk_id"), probed.select("parts", F.col("probe").alias("term")), ["term"], "chunk_id")
+    pairs = near.select("parts", "chunk_id", F.posexplode("parts").alias("k", "term"))
+    met = pairs.join(index.select("term", "chunk_id", "positions"), ["term", "chunk_id"])
+    begun = met.select("parts", "chunk_id", F.explode("positions").alias("at"), "k").groupBy(
+        "parts", "chunk_id", (F.col("at") - F.col("k")).alias("first")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    return begun.where(F.col("n") == F.size("parts")).groupBy("parts", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _gather(index: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -64,60 +135,99 @@ def _gather(index: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def hits(index: DataFrame, questions: DataFrame) -> DataFrame:
-    """The same rows as a search over token arrays: ``query_id, chunk_id, bm25, score``."""
-    words = question_words(questions)
-    each = words.select("query_id", F.explode("words").alias("parts")).groupBy("query_id", "parts").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    each = cut(each)
-    parts = each.select("query_id", F.explode("parts").alias("term")).distinct()
-    counts = index.join(parts.select("term").distinct(), "term", "left_semi").groupBy("term").agg(
-        F.count(F.lit(1)).alias("df")
-    )
-    counts = cut(counts)
-    corpus = index.where(F.col("term") == ALL).agg(
-        F.count(F.lit(1)).alias("total"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")
-    ).first()
-    total, average = corpus["total"], corpus["length"] / corpus["total"] if corpus["total"] else 0.0
-    known = parts.join(counts, "term", "left")
-    rarest = known.groupBy("query_id").agg(
-        F.min_by("term", F.struct("df", "term")).alias("probe"), F.collect_set("term").alias("terms"),
-        F.bool_or(F.col("df").isNull()).alias("missing"),
-    ).where(~F.col("missing"))
-    # Phrases are counted where their own rarest part occurs.
-    phrases = each.where(F.size("parts") > 1).select("parts").distinct()
-    by_phrase = phrases.select("parts", F.explode(F.array_distinct("parts")).alias("term")).join(counts, "term", "left")
-    probed = by_phrase.groupBy("parts").agg(
-        F.min_by("term", F.struct("df", "term")).alias("probe"), F.collect_set("term").alias("terms"),
-        F.bool_or(F.col("df").isNull()).alias("missing"),
-    ).where(~F.col("missing"))
-    holding = _gather(index, probed.select(F.col("parts").alias("key"), "probe", "terms"))
-    phrase_df = holding.where(_phrase_count(F.col("places"), F.col("key")) > 0).groupBy(F.col("key").alias("parts")).agg(
-        F.count(F.lit(1)).alias("df")
-    )
-    singles = counts.select(F.array("term").alias("parts"), "df")
-    weight = F.col("n") * idf(F.lit(float(total)), F.col("df"))
-    weighed = each.join(singles.unionByName(phrase_df), "parts", "left").groupBy("query_id").agg(
-        F.bool_or(F.col("df").isNull()).alias("unknown"),
-        F.sort_array(F.collect_list(F.struct("parts", weight.alias("weight")))).alias("words"),
-    ).where(~F.col("unknown"))
-    plans = rarest.join(weighed, "query_id").select(F.col("query_id").alias("key"), "probe", "terms", "words")
-    plans = cut(plans)
-    found = _gather(index, plans).join(plans.select("key", "words"), "key")
-    counted = F.transform(
-        "words",
-        lambda w: F.struct(
-            w["weight"].alias("weight"),
-            F.when(F.size(w["parts"]) == 1, F.size(F.element_at("places", F.get(w["parts"], F.lit(0)))))
-            .otherwise(_phrase_count(F.col("places"), w["parts"])).cast("double").alias("tf"),
-        ),
-    )
-    rows = found.select(F.col("key").alias("query_id"), "chunk_id", "length", counted.alias("counted"))
-    rows = rows.where(~F.exists("counted", lambda w: w["tf"] == 0))
-    norm = K1 * (1 - B + B * F.col("length") / F.lit(average))
-    gains = F.transform("counted", lambda w: w["weight"] * w["tf"] * (K1 + 1) / (w["tf"] + norm))
-    bm25 = -F.aggregate(gains, F.lit(0.0), lambda acc, x: acc + x)
-    return rows.select("query_id", "chunk_id", bm25.alias("bm25")).withColumn(
-        "score", 1 / F.nullif(F.col("bm25") + 1, F.lit(0.0))
-    )
+class _Search:
+    """A question set settled against the statistics of an index."""
+
+    def __init__(self, index: DataFrame, questions: DataFrame, parts: DataFrame | None):
+        each = question_words(questions).select("query_id", F.explode("words").alias("parts"))
+        self.each = each = cut(each.groupBy("query_id", "parts").agg(F.count(F.lit(1)).alias("n")))
+        self.words = each.select("query_id", F.explode("parts").alias("term")).distinct()
+        named = self.words.select("term").unionByName(index.sparkSession.createDataFrame([(ALL,)], "term string"))
+        self.stats = cut(statistics(_named(index, named)) if parts is None else merged(_named(parts, named)))
+        corpus = self.stats.where(F.col("term") == ALL).agg(
+            F.coalesce(F.sum("df"), F.lit(0)).alias("total"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")
+        ).first()
+        self.total = corpus["total"]
+        self.average = corpus["length"] / self.total if self.total else 0.0
+        counts = self.stats.where(F.col("term") != ALL).groupBy("term").agg(F.sum("df").alias("df"))
+        self.index = _named(index, self.words)
+        phrases = each.where(F.size("parts") > 1)
+        found = phrase_hits(self.index, phrases, counts).groupBy("parts").agg(F.count(F.lit(1)).alias("df"))
+        df = counts.select(F.array("term").alias("parts"), "df").unionByName(found)
+        weight = F.col("n") * idf(F.lit(float(self.total)), F.col("df"))
+        self.weights = cut(each.join(df, "parts", "left").select("query_id", "parts", weight.alias("weight"), "df"))
+        weighed = self.weights.groupBy("query_id").agg(
+            F.bool_or(F.col("df").isNull()).alias("unknown"),
+            F.sort_array(F.collect_list(F.struct("parts", "weight"))).alias("words"),
+        ).where(~F.col("unknown"))
+        plans = _rarest(self.words, "query_id", counts).join(weighed, "query_id")
+        self.plans = cut(plans.select(F.col("query_id").alias("key"), "probe", "terms", "words"))
+
+    def _gain(self, tf: Column, length: Column) -> Column:
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(self.average)))
+
+    def hits(self, index: DataFrame) -> DataFrame:
+        """``query_id, chunk_id, bm25, score`` of chunks that hold all words, among the rows of ``index``."""
+        found = _gather(index, self.plans).join(self.plans.select("key", "words"), "key")
+        places = F.col("places")
+        tf = lambda w: F.when(
+            F.size(w["parts"]) == 1, F.size(F.element_at(places, F.get(w["parts"], F.lit(0))))
+        ).otherwise(_phrase_count(places, w["parts"]))
+        counted = F.transform("words", lambda w: F.struct(w["weight"].alias("weight"), tf(w).cast("double").alias("tf")))
+        rows = found.select(F.col("key").alias("query_id"), "chunk_id", "length", counted.alias("counted"))
+        rows = rows.where(~F.exists("counted", lambda w: w["tf"] == 0))
+        gains = F.transform("counted", lambda w: w["weight"] * self._gain(w["tf"], F.col("length")))
+        bm25 = -F.aggregate(gains, F.lit(0.0), lambda acc, x: acc + x)
+        return rows.select("query_id", "chunk_id", bm25.alias("bm25")).withColumn(
+            "score", 1 / F.nullif(F.col("bm25") + 1, F.lit(0.0))
+        )
+
+    def first_look(self, k: int) -> DataFrame:
+        """``term, floor``: the upper classes with ``FIRST_LOOK * k`` postings, all for parts of phrases."""
+        falling = Window.partitionBy("term").orderBy(F.desc("impact"))
+        reached = self.stats.where(F.col("term") != ALL).withColumn("held", F.sum("df").over(falling))
+        floor = F.max(F.when(F.col("held") >= FIRST_LOOK * k, F.col("impact")))
+        return self._whole_for_phrases(reached.groupBy("term").agg(F.coalesce(floor, F.lit(0)).alias("floor")))
+
+    def _whole_for_phrases(self, floors: DataFrame) -> DataFrame:
+        parts = self.each.where(F.size("parts") > 1).select(F.explode("parts").alias("term"), F.lit(0).alias("floor"))
+        return floors.unionByName(parts).groupBy("term").agg(F.min("floor").alias("floor"))
+
+    def floors(self, bars: DataFrame) -> DataFrame:
+        """``term, floor``: classes that can bring a chunk of some question to its bar (``query_id, bar``)."""
+        single = self.weights.where(F.size("parts") == 1).select("query_id", F.get("parts", F.lit(0)).alias("term"), "weight")
+        bounds = single.join(self.stats, "term").select(
+            "query_id", "term", "impact", (F.col("weight") * self._gain(F.col("most"), F.col("least"))).alias("bound")
+        )
+        best = bounds.groupBy("query_id", "term").agg(F.max("bound").alias("best"))
+        phrases = self.weights.where(F.size("parts") > 1).select("query_id", (F.col("weight") * (K1 + 1)).alias("best"))
+        most = best.select("query_id", "best").unionByName(phrases).groupBy("query_id").agg(F.sum("best").alias("all"))
+        rows = bounds.join(best, ["query_id", "term"]).join(most, "query_id").join(bars, "query_id", "left")
+        enough = F.col("bound") + F.col("all") - F.col("best") >= F.col("bar") - SLACK
+        kept = rows.where(F.coalesce(enough, F.lit(True)))
+        return self._whole_for_phrases(kept.groupBy("term").agg(F.min("impact").alias("floor")))
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    return top_k(hits, ["query_id"], [F.asc(F.round("bm25", 12)), F.asc("chunk_id")], k, spread="chunk_id")
+
+
+def hits(index: DataFrame, questions: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """The same rows as a search over token arrays: ``query_id, chunk_id, bm25, score``.
+
+    ``parts`` are stored statistics of the index; without them its own columns are counted.
+    """
+    search = _Search(index, questions, parts)
+    return search.hits(search.index)
+
+
+def best_hits(index: DataFrame, questions: DataFrame, k: int, parts: DataFrame | None = None) -> DataFrame:
+    """The first ``k`` of ``hits`` with their rank; classes that cannot reach the k-th score are not read.
+
+    Exact: a chunk that holds a word in a class below its floor scores less than the k-th hit of a first
+    look. A question with fewer than ``k`` hits there reads all classes of its words.
+    """
+    search = _Search(index, questions, parts)
+    seen = _ranked(search.hits(_above(search.index, search.first_look(k))), k)
+    bars = cut(seen.where(F.col("rank") == k).select("query_id", (-F.col("bm25")).alias("bar")))
+    return _ranked(search.hits(_above(search.index, cut(search.floors(bars)))), k)
