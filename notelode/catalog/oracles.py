@@ -304,6 +304,14 @@ _WORDS, _PHRASES = ORACLES["bm25_topk"], ORACLES["bm25_phrases"]
 ORACLES["bm25_postings"] = f"""
 SELECT query_id, chunk_id, bm25, rank FROM ({_WORDS.strip()})
 UNION ALL SELECT 'phrase '||query_id, chunk_id, bm25, rank FROM ({_PHRASES.strip()})"""
+ORACLES["bm25_topk_stored"] = ORACLES["bm25_topk"]
+ORACLES["fts_phrases"] = f"""
+WITH d AS (SELECT doc_id, {terms('text')} AS w FROM documents),
+pairs AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
+items AS (SELECT {terms('text')} AS w FROM benchmark),
+asked AS (SELECT DISTINCT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM items))
+SELECT a||' '||b AS phrase, count(DISTINCT doc_id) AS documents, count(*) AS occurrences
+FROM pairs JOIN asked USING (a, b) GROUP BY ALL"""
 ORACLES["lexical_postfilter"] = f"""
 WITH {WORD_QUESTIONS}, {bm25('wq', ALL_DOCS)}
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank
@@ -604,6 +612,9 @@ WITH {RICH}, checks AS (
          THEN {{'type': 'missing_summary', 'detail': 'Add a summary heading or frontmatter summary.', 'seq': 5}} END
   ]) AS i FROM rich)
 SELECT path, i.type AS type, i.detail AS detail, i.seq::BIGINT AS seq FROM checks WHERE i IS NOT NULL"""
+ORACLES["hygiene_plain"] = ORACLES["note_hygiene"].replace(
+    f"WITH {RICH}, checks", f"WITH rich AS (SELECT {PATH} AS path, '' AS front, text AS body, 1 AS quality FROM documents), checks"
+)
 ORACLES["journal_history"] = f"""
 WITH turns AS (
   SELECT conv_id, turn, 'conv'||conv_id||'/turn'||turn||'.md' AS path, ({NOW_MS} - turn*604800000 - conv_id)::BIGINT AS ms,
@@ -658,6 +669,17 @@ ORACLES["index_postings"] = f"""{INDEX},
 tokens AS (SELECT chunk_id, {terms('content')} AS toks FROM chunks),
 each AS (SELECT chunk_id, len(toks) AS length, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM tokens)
 SELECT term, chunk_id, length::BIGINT AS length, count(*) AS tf, max(pos)::BIGINT AS last_position FROM each GROUP BY ALL"""
+CHUNK_TERMS = f"""tokens AS (SELECT chunk_id, file_path, {terms('content')} AS toks FROM chunks),
+each AS (SELECT chunk_id, file_path, unnest(toks) AS term FROM tokens)"""
+ORACLES["index_statistics"] = f"""{INDEX}, {CHUNK_TERMS}
+SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM each GROUP BY term"""
+ORACLES["index_committed"] = f"""{INDEX}, {CHUNK_TERMS}
+SELECT 'chunks' AS part, chunk_id AS key, file_path, content_hash, tokens::BIGINT AS n FROM chunks
+UNION ALL
+SELECT 'files', c.file_path, c.file_path,
+       string_agg(c.content_hash, ':' ORDER BY coalesce(s.content_hash = c.content_hash, FALSE) DESC, c.ordinal), count(*)
+FROM chunks c LEFT JOIN stored s ON s.chunk_id = c.chunk_id GROUP BY c.file_path
+UNION ALL SELECT 'postings', chunk_id, file_path, NULL, count(*) FROM each GROUP BY chunk_id, file_path"""
 ORACLES["index_file_states"] = f"""{INDEX}
 SELECT c.file_path AS path, max(c.mtime)::BIGINT AS mtime, count(*) AS chunk_count,
        string_agg(c.content_hash, ':' ORDER BY coalesce(s.content_hash = c.content_hash, FALSE) DESC, c.ordinal) AS content_hash

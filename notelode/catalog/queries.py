@@ -20,14 +20,16 @@ from ..functions.prompts import render_prompt
 from ..models import StandIn, embedding
 from ..operators import chunking, evaluate, fusion, hygiene, indexing, journal, lexical, packing, postings
 from ..operators.filters import Filters, long_enough, user_text
-from ..operators.lineage import cut
+from ..operators.lineage import cut, shared_folder
 from ..operators.mmr import diversify
 from ..operators.rerank import preview, reorder
 from ..operators.vector import related_files, vector_top_k
 from ..plans import answer as answer_plan
 from ..plans import writers
+from ..plans.index_run import index_notes
 from ..plans.retrieve import filter_hits, retrieve, settle
 from ..shipping import ship
+from ..sources.store import NoteStore
 from . import inputs as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -587,6 +589,13 @@ def note_hygiene(spark, sf_dir):
     return issues.select("path", "type", "detail", F.col("seq").cast("long").alias("seq"))
 
 
+@query
+def hygiene_plain(spark, sf_dir):
+    """Issues of notes without frontmatter and headings."""
+    issues = hygiene.note_issues(I.plain_notes(spark, sf_dir), max_tokens=100)
+    return issues.select("path", "type", "detail", F.col("seq").cast("long").alias("seq"))
+
+
 @query
 def journal_history(spark, sf_dir):
     """Recent sibling entries of every conversation turn."""
@@ -689,6 +698,67 @@ def bm25_postings(spark, sf_dir):
     return _ranked(hits, "chunk_id", _rounded("bm25", 9))
 
 
+@query
+def bm25_topk_stored(spark, sf_dir):
+    """The word questions over a written index: only classes of postings that can matter are read."""
+    folder = shared_folder(spark, "postings")
+    postings.write(postings.postings(I.documents_as_chunks(spark, sf_dir)), folder, 8)
+    hits = lexical.lexical_top_k(spark.read.parquet(folder), I.word_questions(spark, sf_dir), SETTINGS.lexical_top_k)
+    return _ranked(hits, "chunk_id", _rounded("bm25", 9), _rounded("score", 6))
+
+
+@query
+def fts_phrases(spark, sf_dir):
+    """Documents and occurrences of every pair of neighbouring words of the benchmark passages."""
+    w = T.index_tokens(F.col("text"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.slice("w", i, 2))
+    asked = I.table(spark, sf_dir, "benchmark").select(w.alias("w")).where(F.size("w") > 1)
+    phrases = cut(asked.select(F.explode(pairs).alias("parts")).distinct())
+    index = cut(postings.postings(I.documents_as_chunks(spark, sf_dir)))
+    found = postings.phrase_hits(index, phrases)
+    return found.groupBy(F.array_join("parts", " ").alias("phrase")).agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences")
+    )
+
+
+def _committed(spark, sf_dir):
+    """An index after two runs: old versions and pages first, then all documents as they are."""
+    labelled = I.table(spark, sf_dir, "documents").join(I.table(spark, sf_dir, "labels"), "doc_id")
+    stale = F.col("quality") == 0
+    old = labelled.select(
+        I.doc_path().alias("file_path"), (I.doc_mtime() - F.when(stale, 1).otherwise(0)).alias("mtime"),
+        F.when(stale, F.concat("text", F.lit(" "), "text")).otherwise(F.col("text")).alias("markdown"),
+    )
+    pages = I.table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".md")).alias("file_path"),
+        F.lit(I.EPOCH).cast("long").alias("mtime"), F.col("url").alias("markdown"),
+    )
+    store = NoteStore(spark, shared_folder(spark, "index"), buckets=16, files_per_bucket=1)
+    index_notes(store, old.unionByName(pages), CLIENT)
+    index_notes(store, I.plain_notes(spark, sf_dir), CLIENT)
+    return store.pinned()
+
+
+@query
+def index_committed(spark, sf_dir):
+    """Chunks, postings and file states of one state of the index, read back after two runs."""
+    store = _committed(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    chunks = store.chunks().select(
+        F.lit("chunks").alias("part"), F.col("chunk_id").alias("key"), "file_path", "content_hash", F.col("tokens").cast("long").alias("n")
+    )
+    states = store.files().select(F.lit("files"), "path", F.col("path"), "content_hash", F.col("chunk_count").cast("long"))
+    held = store.lexical_index().where(F.col("term") != postings.ALL).groupBy("chunk_id", "file_path").agg(F.sum("tf").alias("n"))
+    return chunks.union(states).union(held.select(F.lit("postings"), "chunk_id", "file_path", none, "n"))
+
+
+@query
+def index_statistics(spark, sf_dir):
+    """Document and corpus frequencies that the commits of two runs have left, added up over buckets."""
+    found = postings.merged(_committed(spark, sf_dir).statistics()).where(F.col("term") != postings.ALL)
+    return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 @query
 def index_file_states(spark, sf_dir):
     """File rows after a run: reused chunks are listed before embedded ones."""

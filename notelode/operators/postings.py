@@ -35,14 +35,17 @@ SLACK = 1e-9
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """``term, chunk_id, file_path, length, positions, tf, impact`` of ``chunk_id, file_path, content`` rows."""
+    """``term, chunk_id, file_path, length, positions, tf, impact`` of ``chunk_id, file_path, content`` rows.
+
+    A null content is no part of the index.
+    """
     tokens = chunks.select("chunk_id", "file_path", T.index_tokens(F.col("content")).alias("tokens"))
     sized = tokens.withColumn("length", F.size("tokens").cast("long"))
     each = sized.select("chunk_id", "file_path", "length", F.posexplode("tokens").alias("at", "term"))
     found = each.groupBy("term", "chunk_id", "file_path", "length").agg(
         F.array_sort(F.collect_list("at")).alias("positions")
     )
-    whole = sized.select(
+    whole = sized.where(F.col("length").isNotNull()).select(
         F.lit(ALL).alias("term"), "chunk_id", "file_path", "length", F.array().cast("array<int>").alias("positions")
     )
     tf = F.size("positions")
@@ -50,6 +53,12 @@ def postings(chunks: DataFrame) -> DataFrame:
     return found.unionByName(whole).withColumn("tf", tf).withColumn("impact", F.floor(IMPACTS * share).cast("int"))
 
 
+def write(index: DataFrame, folder: str, files: int) -> None:
+    """Store postings as Parquet: each term in one of ``files`` files, its highest impacts first."""
+    dealt = index.repartition(files, "term").sortWithinPartitions("term", F.desc("impact"), "chunk_id")
+    dealt.write.mode("overwrite").parquet(folder)
+
+
 def statistics(index: DataFrame, *by: str) -> DataFrame:
     """``term, impact, df, cf, length, most, least``: postings, occurrences, lengths, largest tf, least length."""
     return index.groupBy(*by, "term", "impact").agg(
