@@ -231,6 +231,13 @@ SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (
                round(list_inner_product(emb, vector) + {BOOST}, 12) AS score
         FROM vectors v, means m)) WHERE rank <= 40"""
 
+ORACLES["vector_topk_pruned"] = ORACLES["vector_topk"]
+ORACLES["related_all"] = f"""
+WITH {VECTORS}
+SELECT query_id, path, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM (
+    SELECT a.chunk_id AS query_id, 'v/'||b.chunk_id||'.md' AS path, round({cosine('a.emb', 'b.emb')}, 12) AS score
+    FROM vectors a JOIN vectors b ON a.chunk_id <> b.chunk_id)) WHERE rank <= 5"""
 RELATED = f"""
 WITH {CORPUS}, {centroid('means', 'corpus', 'file_path')},
 best AS (

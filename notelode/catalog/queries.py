@@ -18,7 +18,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.prompts import render_prompt
 from ..models import StandIn, embedding
-from ..operators import chunking, evaluate, fusion, hygiene, indexing, journal, lexical, packing, postings
+from ..operators import chunking, clusters, evaluate, fusion, hygiene, indexing, journal, lexical, packing, postings
 from ..operators.filters import Filters, long_enough, user_text
 from ..operators.lineage import cut, shared_folder
 from ..operators.mmr import diversify
@@ -79,6 +79,24 @@ def vector_topk(spark, sf_dir):
     return _ranked(hits, "chunk_id", _rounded("score"))
 
 
+@query
+def vector_topk_pruned(spark, sf_dir):
+    """The same over a table stored by cluster, reading only clusters that can matter."""
+    boost = V.recency_boost(F.col("mtime"), SETTINGS.recency_boost, I.NOW_MS)
+    folder = shared_folder(spark, "clusters")
+    clusters.write(I.vectors(spark, sf_dir), folder, 32)
+    hits = clusters.top_k_pruned(spark, folder, I.label_questions(spark, sf_dir), SETTINGS.vector_top_k, boost)
+    return _ranked(hits, "chunk_id", _rounded("score"))
+
+
+@query
+def related_all(spark, sf_dir):
+    """Five other vectors per vector, every one against all, in pairs of blocks."""
+    notes = I.vectors(spark, sf_dir).withColumn("file_path", F.concat(F.lit("v/"), "chunk_id", F.lit(".md")))
+    asked = notes.select(F.col("chunk_id").alias("query_id"), F.col("file_path").alias("path"), F.col("embedding").alias("vector"))
+    return _ranked(related_files(notes, asked, 5, max_questions=256), "path", _rounded("score"))
+
+
 @query
 def related_sources(spark, sf_dir):
     """Five other files per source file by the cosine of their closest chunk."""

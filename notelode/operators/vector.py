@@ -2,13 +2,14 @@
 
 Small question sets travel to the executors with the task and each partition keeps only its
 own top-k, so a scan emits ``partitions * questions * k`` rows and the chunk table is never
-shuffled. Larger sets are cut into bounded tiles with a scan for each. Both ways are exact.
+shuffled. Of larger sets both sides are packed into blocks of bounded bytes that are settled in the
+shared folder; executors read every pair of blocks, and no vector reaches the driver. Both ways are
+exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from .lineage import cut
 from .sizing import MAX_BROADCAST_QUERIES, small_rows, tiles, top_k
@@ -24,6 +26,10 @@ from .sizing import MAX_BROADCAST_QUERIES, small_rows, tiles, top_k
 # cannot reorder equal vectors.
 SCORE_DECIMALS = 12
 CELLS_PER_STEP = 2_000_000
+# Blocks of a large question set: bytes of one, rows of one on the chunks' side, tiles of a task.
+BLOCK_BYTES = 4 << 20
+CHUNKS_PER_BLOCK = 8192
+TILES_PER_TASK = 8
 # Scores that are no number rank behind all others and come out as NaN.
 LOWEST = -float(np.finfo(float).max)
 HIT_SCHEMA = "query_id string, key string, score double"
@@ -145,20 +151,47 @@ def _scan(chunks: DataFrame, rows: list, k: int, metric: str, per_key_max: bool)
     return chunks.select("key", "embedding", "boost").mapInArrow(score_partition, HIT_SCHEMA)
 
 
-def _tiled(
+def _blocks(rows: DataFrame, most: int) -> DataFrame:
+    """Rows packed into arrays: at most ``most`` rows and about ``BLOCK_BYTES`` in one."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = max(1, min(most, BLOCK_BYTES * max(1, batch.num_rows) // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, each):
+                part = batch.slice(at, each)
+                ends = pa.array([0, part.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(ends, column) for column in part.columns], names=part.schema.names
+                )
+
+    packed = StructType([StructField(f.name, ArrayType(f.dataType)) for f in rows.schema.fields])
+    return cut(rows.mapInArrow(pack, packed))
+
+
+def _block_pairs(
     chunks: DataFrame, questions: DataFrame, k: int, metric: str, per_key_max: bool, per_tile: int
 ) -> DataFrame:
-    """One scan of the chunk table for each tile of about ``per_tile`` questions.
+    """Every block of chunks against every tile of questions; a task keeps the best ``k`` of its tiles."""
+    blocks = _blocks(chunks.select("key", "embedding", "boost"), CHUNKS_PER_BLOCK)
+    tiled = _blocks(questions.select("query_id", "vector", "skip"), per_tile).withColumn("tile", F.monotonically_increasing_id())
+    held = cut(tiled)
+    spread = tiles(held.count(), TILES_PER_TASK)
+    pairs = blocks.crossJoin(held.coalesce(spread))
+
+    def score_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, _Best] = {}
+        for batch in batches:
+            columns = [batch.column(name) for name in ("tile", "query_id", "vector", "skip", "key", "embedding", "boost")]
+            for tile, ids, vectors, skip, keys, embeddings, boost in zip(*columns):
+                name = tile.as_py()
+                if name not in best:
+                    asked = _Questions(ids.as_py(), vectors.as_py(), skip.as_py())
+                    best[name] = _Best(asked, k, metric, per_key_max)
+                best[name].add(keys.values, embeddings.values, boost.values)
+        for one in best.values():
+            yield one.result()
 
-    Only a tile of questions at a time passes the driver, and no vector of a chunk is shuffled.
-    """
-    numbered = cut(questions.withColumn("tile", F.xxhash64("query_id")))
-    across = tiles(numbered.count(), per_tile)
-    scans = []
-    for number in range(across):
-        rows = numbered.where(F.pmod("tile", F.lit(across)) == number).drop("tile").collect()
-        scans.append(_scan(chunks, rows, k, metric, per_key_max))
-    return reduce(DataFrame.unionByName, scans)
+    return pairs.mapInArrow(score_pairs, HIT_SCHEMA)
 
 
 def _score(
@@ -168,7 +201,7 @@ def _score(
     if rows is not None:
         hits = _scan(chunks, rows, k, metric, per_key_max)
     else:
-        hits = _tiled(chunks, questions, k, metric, per_key_max, max_questions)
+        hits = _block_pairs(chunks, questions, k, metric, per_key_max, max_questions)
     if per_key_max:
         hits = hits.groupBy("query_id", "key").agg(F.max("score").alias("score"))
     best = top_k(hits, ["query_id"], [F.desc("score"), F.asc("key")], k, spread="key")
