@@ -10,6 +10,7 @@ pages have them.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from string import ascii_lowercase, ascii_uppercase
 
@@ -18,12 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
-from .tables import table
+from .tables import measured, table
 
 SUPPORT = 0.001
 CONFIDENCE = 0.8
 # Mined rules are broadcast up to this number, joined by a shuffle beyond it.
 MAX_BROADCAST_RULES = 50_000
+# Tokens that blocked rows have often enough are broadcast up to this number.
+MAX_BROADCAST_TOKENS = 500_000
 BLOCKED = "=block"
 
 
@@ -79,10 +82,33 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(marked("h:", labels), marked("p:", parts), marked("q:", names))))
 
 
+def _slim(labelled: DataFrame, support: float) -> DataFrame:
+    """``items`` of each row, with no rule lost: of tokens that always occur together one stands for all,
+    and tokens that blocked rows have too seldom for any rule are left out.
+
+    Tokens have the same rows if they have the same number of them and two equal sums of row hashes. One
+    popular url with hundreds of query names is then one item instead of every combination of them.
+    """
+    rows = cut(labelled.withColumn("row", F.monotonically_increasing_id()))
+    least = math.ceil(support * rows.count())
+    each = rows.select("row", "block", F.explode("tokens").alias("token"))
+    hash_ = lambda salt: F.sum(F.xxhash64("row", F.lit(salt)).cast("decimal(38,0)"))
+    seen = each.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("block").alias("blocked"), hash_(1).alias("one"), hash_(2).alias("two")
+    )
+    able = seen.where(F.col("blocked") >= max(least, 1))
+    kept = measured(able.groupBy("n", "one", "two").agg(F.min("token").alias("token")).select("token"), MAX_BROADCAST_TOKENS)
+    held = each.join(kept, "token", "left_semi").groupBy("row").agg(F.collect_list("token").alias("own"))
+    own = F.coalesce("own", F.array().cast("array<string>"))
+    # Rows without a token left still count for the supports.
+    return rows.select("row", "block").join(held, "row", "left").select(
+        F.when(F.col("block"), F.array_append(own, F.lit(BLOCKED))).otherwise(own).alias("items")
+    )
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules (antecedent, confidence, key) from ``labelled`` (tokens, block); key is the rarest token."""
-    items = F.when(F.col("block"), F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(labelled.select(items.alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(_slim(labelled, support))
     sure = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCKED)))
     sure = cut(sure.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"))
     # A rule is superfluous if leaving out one token (and so any) leaves a rule that is as sure.

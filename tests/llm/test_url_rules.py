@@ -54,3 +54,12 @@ def test_mined_rules_equal_brute_force(frame):
 def test_empty_table_and_no_blocked_page(frame):
     assert judge(frame([], SCHEMA)).count() == 0
     assert judge(frame([(1, "http://a.com/", "", "")], SCHEMA).limit(1)).first().verdict == "allow"
+
+
+def test_long_urls_on_many_pages_end_soon(frame):
+    names = "&".join(f"name{i}={i}" for i in range(200))
+    rows = [(i, f"http://shop.net/list?{names}") for i in range(40)] + [(100 + i, f"http://news{i % 5}.com/a/{i}") for i in range(40)]
+    rows += [(200, f"http://other.com/list?{names}"), (201, "http://other.com/list?page=1")]
+    got = {r.page_id: r.verdict for r in judge(frame([(*r, "", "") for r in rows], SCHEMA), support=0.05).collect()}
+    assert all(got[i] == "block" for i in range(40)) and all(got[100 + i] == "allow" for i in range(40))
+    assert got[200] == "block" and got[201] == "block"
