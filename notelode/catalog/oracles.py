@@ -483,11 +483,13 @@ chunks AS (
 
 
 ORACLES["chunk_notes"] = f"WITH {RICH}, {rich_chunks(False)} SELECT {CHUNK_LIST} FROM chunks"
+ORACLES["chunk_sql"] = ORACLES["chunk_notes"]
 ORACLES["chunk_titles_only"] = f"WITH {RICH}, {rich_chunks(True)} SELECT {CHUNK_LIST} FROM chunks"
 ORACLES["filter_notes"] = f"""
 WITH {RICH}, {rich_chunks(False)} SELECT chunk_id, file_path, chunk_type FROM chunks
 WHERE starts_with(file_path, 'src1') AND chunk_type IN ('text', 'code')
   AND (list_has_any(string_split(tags, ','), ['en', 'fr']))"""
+ORACLES["filter_stored"] = ORACLES["filter_notes"]
 ORACLES["classify_lines"] = f"""
 WITH {RICH},
 lines AS (SELECT path, unnest(string_split(markdown, chr(10))) AS line,

@@ -18,6 +18,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.prompts import render_prompt
 from ..models import StandIn, embedding
+from ..operators import chunk_sql as table_function
 from ..operators import chunking, clusters, evaluate, fusion, hygiene, indexing, journal, lexical, packing, postings
 from ..operators.filters import Filters, long_enough, user_text
 from ..operators.lineage import cut, shared_folder
@@ -49,6 +50,7 @@ MODEL_FREE = Config(features=Features(reranking=False))
 FILTERS = Filters(path_prefix="src1", tags=["en", "fr"], chunk_types=["text", "code"])
 
 
+
 def query(fn: Query) -> Query:
     @wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,6 +407,12 @@ def chunk_notes(spark, sf_dir):
     return _chunk_rows(chunking.chunk_notes(I.rich_notes(spark, sf_dir)))
 
 
+@query
+def chunk_sql(spark, sf_dir):
+    """The same by the registered table function, called laterally."""
+    return _chunk_rows(table_function.chunk_notes_sql(I.rich_notes(spark, sf_dir)))
+
+
 @query
 def chunk_titles_only(spark, sf_dir):
     """Chunking without strong list or code boundaries and with title prefixes."""
@@ -589,6 +597,14 @@ def filter_notes(spark, sf_dir):
     return chunks.where(FILTERS.predicate()).select("chunk_id", "file_path", "chunk_type")
 
 
+@query
+def filter_stored(spark, sf_dir):
+    """The same over a written index, whose files are sorted by path."""
+    store = NoteStore(spark, shared_folder(spark, "index"), buckets=16, files_per_bucket=1)
+    index_notes(store, I.rich_notes(spark, sf_dir), CLIENT)
+    return store.chunks().where(FILTERS.predicate()).select("chunk_id", "file_path", "chunk_type")
+
+
 @query
 def length_gates(spark, sf_dir):
     """Which writers would take a note, by the length of its user text."""

@@ -269,27 +269,40 @@ def chunk_id(file_path: Column, heading_path: Column, ordinal: Column) -> Column
     )
 
 
-def chunk_notes(notes: DataFrame, config: Chunking | None = None) -> DataFrame:
-    """Chunks of ``notes(file_path, mtime, markdown)``; notes with invalid YAML yield none."""
-    config = config or Chunking()
+def line_columns() -> dict[str, Column]:
+    """What ``plan_note`` takes of a parsed note, as columns."""
     lines = F.col("lines")
-    kinds = F.transform(lines, line_kind)
-    letters = F.array_join(kinds, "")
-    costs = F.transform(F.split(T.plain_spaces(F.col("body")), "\n", -1), T.count_words)
     is_heading = F.filter(lines, lambda line: line.rlike(rf"\A#{{1,6}}[{S}]+{_DOT}*\z"))
-    parsed = (
-        parse_notes(notes)
-        .withColumn(
-            "plan",
-            _plan_udf(config)(
-                F.when(F.col("front.error").isNull(), letters),
-                costs,
-                F.transform(is_heading, heading_text),
-                T.trim(F.col("front.title")),
-                T.drop_md(T.base_name(F.col("file_path"))),
+    return {
+        "kinds": F.when(F.col("front.error").isNull(), F.array_join(F.transform(lines, line_kind), "")),
+        "costs": F.transform(F.split(T.plain_spaces(F.col("body")), "\n", -1), T.count_words),
+        "headings": F.transform(is_heading, heading_text),
+        "title": T.trim(F.col("front.title")),
+        "fallback": T.drop_md(T.base_name(F.col("file_path"))),
+    }
+
+
+def with_ids(chunks: DataFrame, config: Chunking) -> DataFrame:
+    """Rows of the chunk table from cut chunks: ids, links, embedded text and hashes."""
+    full = chunks.withColumns(
+        {
+            "chunk_id": chunk_id(F.col("file_path"), F.col("heading_path"), F.col("ordinal")),
+            "links": T.wiki_links(F.col("content")),
+            "representation": representation(
+                F.col("content"), F.col("heading_path"), F.col("note_title"), F.col("tags"),
+                config.metadata_prefix_strategy,
             ),
-        )
+            "content_hash": T.sha1(F.col("content")),
+        }
     )
+    return full.select(*(F.col(c).cast(t).alias(c) for c, t in CHUNK_COLUMNS.items()))
+
+
+def chunk_notes(notes: DataFrame, config: Chunking | None = None) -> DataFrame:
+    """Chunks of ``notes(file_path, mtime, markdown)``; notes with invalid YAML yield none."""
+    config = config or Chunking()
+    lines = F.col("lines")
+    parsed = parse_notes(notes).withColumn("plan", _plan_udf(config)(*line_columns().values()))
     built = F.transform(
         F.col("plan.chunks"),
         lambda chunk: F.struct(
@@ -321,15 +334,4 @@ def chunk_notes(notes: DataFrame, config: Chunking | None = None) -> DataFrame:
         "file_path", "mtime", "note_title", "tags", "frontmatter",
         F.posexplode_outer("built").alias("_at", "c"),
     ).where(F.col("_at").isNotNull()).select("*", "c.*", (F.col("_at") + 1).alias("ordinal"))
-    full = exploded.withColumns(
-        {
-            "chunk_id": chunk_id(F.col("file_path"), F.col("heading_path"), F.col("ordinal")),
-            "links": T.wiki_links(F.col("content")),
-            "representation": representation(
-                F.col("content"), F.col("heading_path"), F.col("note_title"), F.col("tags"),
-                config.metadata_prefix_strategy,
-            ),
-            "content_hash": T.sha1(F.col("content")),
-        }
-    )
-    return full.select(*(F.col(c).cast(t).alias(c) for c, t in CHUNK_COLUMNS.items()))
+    return with_ids(exploded, config)

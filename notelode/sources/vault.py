@@ -25,7 +25,8 @@ SKIPPED_DIRECTORIES = frozenset({".obsidian", ".trash", ".git"})
 _ENTRY = "path string, is_dir boolean"
 
 
-def _children(directory: str) -> Iterator[tuple[str, bool]]:
+def note_entries(directory: str) -> Iterator[tuple[str, bool]]:
+    """Notes of a folder and folders in it that may hold notes, as (path, is folder)."""
     with os.scandir(directory) as entries:
         for entry in entries:
             if entry.is_dir(follow_symlinks=False):
@@ -35,12 +36,21 @@ def _children(directory: str) -> Iterator[tuple[str, bool]]:
                 yield entry.path, False
 
 
+def resolve_writable(root: str, target: str) -> str:
+    """Absolute path of a note below ``root``; anything outside is refused."""
+    root = os.path.abspath(root)
+    path = os.path.abspath(os.path.join(root, target))
+    if path != root and not path.startswith(root.rstrip(os.sep) + os.sep):
+        raise PermissionError(f"{path} is not below {root}")
+    return path
+
+
 def _open_level(root: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, _ in batch.itertuples(index=False):
                 try:
-                    rows = list(_children(path))
+                    rows = list(note_entries(path))
                 except FileNotFoundError:
                     if path == root:
                         raise
