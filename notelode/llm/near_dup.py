@@ -132,44 +132,93 @@ def neighbours(place: np.ndarray, ids: np.ndarray, sizes: np.ndarray, percent: i
     return found
 
 
-def _candidates(percent: int):
+def _cut_at(key: np.ndarray, room: int) -> int:
+    """Where sorted rows may be cut; 0 where they have to be held.
+
+    Between two regions if there are two. Of a region larger than ``room`` the rows are in
+    deeper regions whatever follows, so it may be cut between those. Rows that share a whole
+    signature are cut anywhere: the caller repeats the last ones.
+    """
+    differ = key[1:] != key[:-1]
+    for depth in range(LEAST_DEPTH, DEPTH + 1):
+        breaks = np.flatnonzero(differ[:, : 1 + 4 * depth].any(axis=1))
+        if len(breaks):
+            return int(breaks[-1]) + 1
+        if len(key) <= room:
+            return 0
+    return len(key)
+
+
+def _candidates(percent: int, room: int = 200_000, edges: bool = True):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Looks at sorted rows in stretches; a stretch ends between two regions if it can."""
+        """Looks at sorted rows in stretches and hands on its first and last rows.
+
+        A region that is cut, between stretches or between tasks, is whole again by rows that
+        are looked at twice: ``WINDOW`` on each side decide as the whole region would, as a
+        region is either that small or goes deeper. Rows with ``place`` are such edges.
+        """
         held: list[np.ndarray] | None = None
+        head: list[np.ndarray] | None = None
+        tail: list[np.ndarray] | None = None
         width = 1 + 4 * DEPTH
 
-        def emit(rows):
+        def found(rows):
             for a, b, open_ in neighbours(*rows, percent):
                 low, high = np.minimum(a, b), np.maximum(a, b)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(low), pa.array(high), pa.array(open_)], names=["a", "b", "open"]
+                    [pa.array(low), pa.array(high), pa.array(open_), pa.nulls(len(a), pa.binary())],
+                    names=["a", "b", "open", "place"],
                 )
 
+        def edge(rows):
+            keys, ids, sizes = rows
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(sizes), pa.array(np.zeros(len(ids), bool)), pa.array([k.tobytes() for k in keys], pa.binary())],
+                names=["a", "b", "open", "place"],
+            )
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.frombuffer(b"".join(batch.column("place").to_pylist()), np.uint8).reshape(-1, width)
             rows = [keys, batch.column("doc_id").to_numpy(), batch.column("n_shingles").to_numpy()]
+            if head is None or len(head[0]) < WINDOW:
+                head = [x[:WINDOW] for x in (rows if head is None else [np.concatenate(x) for x in zip(head, rows)])]
+            tail = [x[-WINDOW:] for x in (rows if tail is None else [np.concatenate(x) for x in zip(tail, rows)])]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows)]
-            key = rows[0]
-            breaks = np.flatnonzero((key[1:, : 1 + 4 * LEAST_DEPTH] != key[:-1, : 1 + 4 * LEAST_DEPTH]).any(axis=1))
-            if len(breaks):
-                cut_at = breaks[-1] + 1
-            elif len(key) > 200_000:
-                cut_at = len(key)  # an open region this large is tied together by the other trees
-            else:
+            at = _cut_at(rows[0], room)
+            if not at:
                 held = rows
                 continue
-            yield from emit([x[:cut_at] for x in rows])
-            held = [x[cut_at:] for x in rows]
+            yield from found([x[:at] for x in rows])
+            # Where the cut lies inside a region its last rows are looked at again.
+            held = [x[max(0, at - WINDOW) if len(rows[0]) > room else at :] for x in rows]
         if held is not None:
-            yield from emit(held)
+            yield from found(held)
+        if edges and head is not None:
+            yield edge(head)
+            yield edge(tail)
 
     return run
 
 
+def candidates(ordered: DataFrame, percent: int, partitions: int, room: int = 200_000) -> DataFrame:
+    """(a, b, open) of rows (place, doc_id, n_shingles), in ``partitions`` ranges of the order.
+
+    The ranges may cut a region at any row. Each task hands on its first and last ``WINDOW``
+    rows; these few, in order, are looked at once more.
+    """
+    kind = "a long, b long, open boolean, place binary"
+    dealt = ordered.repartitionByRange(partitions, "place", "doc_id").sortWithinPartitions("place", "doc_id")
+    near = cut(dealt.mapInArrow(_candidates(percent, room), kind).distinct())
+    edges = near.where("place IS NOT NULL").select("place", F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
+    by_tree = edges.repartition(TREES, F.substring("place", 1, 1)).sortWithinPartitions("place", "doc_id")
+    across = by_tree.mapInArrow(_candidates(percent, room, False), kind)
+    return near.where("place IS NULL").unionByName(across).select("a", "b", "open").distinct()
+
+
 def _sets(words: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,10 +348,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # Rows that share a doc_id may hold different texts; each is placed in the trees.
     ordered = chosen.mapInArrow(_trees, "place binary, doc_id long, n_shingles long")
     partitions = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    near = cut(
-        ordered.repartitionByRange(partitions, "place", "doc_id").sortWithinPartitions("place", "doc_id")
-        .mapInArrow(_candidates(percent), "a long, b long, open boolean").distinct()
-    )
+    near = cut(candidates(ordered, percent, partitions))
     pairs = near.where("NOT open AND a != b").select("a", "b").distinct()
     ties = near.where("open").select("a", "b")
     ids = cut(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())

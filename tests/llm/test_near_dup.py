@@ -1,8 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 from notelode.llm.components import components
-from notelode.llm.near_dup import near_duplicates
+from notelode.llm.near_dup import DEPTH, candidates, near_duplicates, neighbours
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -96,3 +99,38 @@ def test_components_of_a_chain_and_a_star(frame):
     got = {r.id: r.root for r in components(frame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)}
     assert components(frame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("partitions, room", [(1, 50), (1, 10**6), (13, 50), (211, 50)])
+def test_regions_are_whole_wherever_they_are_cut(frame, spark, partitions, room):
+    """Pairs of the whole order are found, and an open region is tied together, across every cut."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(1500):
+        deep = [rng.choice([1, 1, 1, 2])] * 3 + [rng.choice([1, 1, 1, 1, 3]) for _ in range(DEPTH - 3)]
+        if i % 10 == 0:
+            deep[2] = rng.randrange(100)
+        key = bytes([rng.randrange(2)]) + b"".join(v.to_bytes(4, "big") for v in deep)
+        rows.append((bytearray(key), i, rng.choice([90, 100])))
+    order = sorted(rows, key=lambda r: (bytes(r[0]), r[1]))
+    place = np.array([list(r[0]) for r in order], np.uint8)
+    whole = neighbours(place, np.array([r[1] for r in order]), np.array([r[2] for r in order]), 80)
+    pairs, ties = set(), {}
+    for a, b, open_ in whole:
+        for x, y, o in zip(a.tolist(), b.tolist(), open_.tolist()):
+            if o:
+                ties[x] = y
+            else:
+                pairs.add((min(x, y), max(x, y)))
+    assert pairs and len(set(ties.values())) > 3
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = candidates(frame(rows, "place binary, doc_id long, n_shingles long"), 80, partitions, room).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert pairs <= {(r.a, r.b) for r in got if not r.open}
+    root = {r.id: r.root for r in components(frame([(r.a, r.b) for r in got if r.open], "a long, b long")).collect()}
+    groups = {}
+    for member, first in ties.items():
+        groups.setdefault(first, set()).add(root.get(member, member))
+    assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
