@@ -3,6 +3,7 @@
 import os
 import random
 import tempfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from notelode.models import HttpClient, StandIn, embedding, response
 from notelode.operators import hygiene, journal
 from notelode.operators.lineage import cut
 from notelode.plans import index_run, writers
+from notelode.schema import STORED_COLUMNS
+from notelode.sources import store as store_module
 from notelode.sources.store import NoteStore
 from notelode.sources.vault import list_notes, read_eval_cases, read_notes, scan_vault
 from notelode.streaming.incremental import index_stream
@@ -116,6 +119,60 @@ def test_store_upserts_and_deletes(spark):
     assert store.chunks().count() == 0
 
 
+def _above_the_scan(frame, table):
+    """Names of the operators between the write and the scan of ``table``, from the plan's tree."""
+    lines = frame._jdf.queryExecution().executedPlan().toString().split("\n")
+    lines = lines[: next((i for i, line in enumerate(lines) if "Initial Plan" in line), len(lines))]
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    at = next(i for i, line in enumerate(lines) if "FileScan" in line and f"/{table}/" in line)
+    out, level = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            level = depth(line)
+            out.append(line.lstrip(" :+-*()0123456789").split(" ")[0].split("(")[0])
+    return out
+
+
+def test_a_commit_does_not_shuffle_stored_chunks(spark):
+    store = NoteStore(spark, fresh_dir() + "/index", buckets=3, files_per_bucket=1)
+    rows = [(f"c{i:03}", f"n{i % 40}.md", i, 5, f"h{i}") for i in range(200)]
+    store.upsert_chunks(stored(spark, rows))
+    change = stored(spark, [("c007", "n7.md", 7, 6, "new"), ("x", "n7.md", 300, 6, "added")])
+    few = lambda: store_module._few(change.select("chunk_id"), "chunk_id")
+    after = lambda: store._after("chunks", STORED_COLUMNS, "chunk_id", "file_path", change, few(), {0, 1, 2}, ("file_path", "ordinal"))
+    above = _above_the_scan(after(), "chunks")
+    assert "BroadcastHashJoin" in above and not any("Exchange" in name for name in above), above
+    want = {i: h for i, _, _, _, h in rows} | {"c007": "new", "x": "added"}
+    assert {r["chunk_id"]: r["content_hash"] for r in after().collect()} == want
+    store.upsert_chunks(change)
+    assert {r["chunk_id"]: r["content_hash"] for r in store.chunks().collect()} == want
+
+
+def test_many_keys_meet_in_a_shuffle_and_crowded_buckets_are_dealt_anew(spark, monkeypatch):
+    monkeypatch.setattr(store_module, "MAX_BROADCAST_KEYS", 1)
+    monkeypatch.setattr(store_module, "CROWD", 1)
+    store = NoteStore(spark, fresh_dir() + "/index", buckets=2, files_per_bucket=1)
+    want, most = {}, 0
+    for turn in range(4):
+        rows = [(f"c{i}", f"n{i % 5}.md", i, turn, f"h{turn}.{i}") for i in range(turn, turn + 10)]
+        store.upsert_chunks(stored(spark, rows))
+        want |= {r[0]: r[4] for r in rows}
+        folders = [Path(store.root) / "chunks" / f"v={v}" / f"bucket={b}" for b, v in store._versions("chunks").items()]
+        most = max(most, *(len(list(f.glob("*.parquet"))) for f in folders))
+        assert {r["chunk_id"]: r["content_hash"] for r in store.chunks().collect()} == want
+    assert most == 2
+    held = store.lexical_index().select("chunk_id").distinct().count()
+    assert held == len(want)
+
+
+def test_an_index_run_leaves_no_settled_table(spark):
+    store = NoteStore(spark, fresh_dir() + "/index", buckets=2)
+    notes = spark.createDataFrame([("a.md", 1, "# A\ntext"), ("b.md", 1, "---\n: [\n---\n")], "file_path string, mtime long, markdown string")
+    index_run.index_notes(store, notes, StandIn())
+    shared = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    assert not list(shared.glob("embedded-*")) and store.chunks().count() > 0
+
+
 def test_stream_indexes_new_notes(spark):
     source, store = fresh_dir(), NoteStore(spark, fresh_dir() + "/index", buckets=2)
     checkpoint = fresh_dir()
