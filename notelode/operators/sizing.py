@@ -13,6 +13,9 @@ from .lineage import cut
 # A question set is shipped to the executors only up to these sizes.
 MAX_BROADCAST_QUERIES = 2048
 MAX_BROADCAST_BYTES = 32 << 20
+# Keys of a change, or paths asked for, are broadcast up to this number and so many bytes.
+MAX_BROADCAST_KEYS = 200_000
+MAX_BROADCAST_KEY_BYTES = 16 << 20
 SALTS = 32
 # Join keys with more rows than this are split; there can be at most rows / HOT_ROWS of them.
 HOT_ROWS = 100_000
@@ -33,6 +36,13 @@ def small_rows(df: DataFrame, size_of: Column, max_rows: int = MAX_BROADCAST_QUE
         kept.unpersist()
 
 
+def few(keys: DataFrame, key: str) -> DataFrame:
+    """``keys``, to be broadcast if it is measured to be small; it is read twice."""
+    size = keys.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(key)).alias("bytes")).first()
+    small = size["n"] <= MAX_BROADCAST_KEYS and (size["bytes"] or 0) <= MAX_BROADCAST_KEY_BYTES
+    return F.broadcast(keys) if small else keys
+
+
 def salt_of(key: Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
 

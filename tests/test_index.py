@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from notelode import config as C
 from notelode.functions.markers import BLOCK_END, BLOCK_START
 from notelode.models import HttpClient, StandIn, embedding, response
-from notelode.operators import hygiene, journal
+from notelode.operators import hygiene, journal, sizing
 from notelode.operators.lineage import cut
 from notelode.plans import index_run, writers
 from notelode.schema import STORED_COLUMNS
@@ -138,7 +138,7 @@ def test_a_commit_does_not_shuffle_stored_chunks(spark):
     rows = [(f"c{i:03}", f"n{i % 40}.md", i, 5, f"h{i}") for i in range(200)]
     store.upsert_chunks(stored(spark, rows))
     change = stored(spark, [("c007", "n7.md", 7, 6, "new"), ("x", "n7.md", 300, 6, "added")])
-    few = lambda: store_module._few(change.select("chunk_id"), "chunk_id")
+    few = lambda: sizing.few(change.select("chunk_id"), "chunk_id")
     after = lambda: store._after("chunks", STORED_COLUMNS, "chunk_id", "file_path", change, few(), {0, 1, 2}, ("file_path", "ordinal"))
     above = _above_the_scan(after(), "chunks")
     assert "BroadcastHashJoin" in above and not any("Exchange" in name for name in above), above
@@ -149,7 +149,7 @@ def test_a_commit_does_not_shuffle_stored_chunks(spark):
 
 
 def test_many_keys_meet_in_a_shuffle_and_crowded_buckets_are_dealt_anew(spark, monkeypatch):
-    monkeypatch.setattr(store_module, "MAX_BROADCAST_KEYS", 1)
+    monkeypatch.setattr(sizing, "MAX_BROADCAST_KEYS", 1)
     monkeypatch.setattr(store_module, "CROWD", 1)
     store = NoteStore(spark, fresh_dir() + "/index", buckets=2, files_per_bucket=1)
     want, most = {}, 0
