@@ -1,5 +1,8 @@
 """Large question sets in pairs of blocks, and top-k over clusters."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +73,41 @@ def test_empty_tables(spark, tmp_path):
     clusters.write(none, str(tmp_path), 4)
     assert clusters.top_k_pruned(spark, str(tmp_path), asked, 3).count() == 0
     assert vector.vector_top_k(none, asked, 3, max_questions=0).count() == 0
+
+
+def test_rows_without_a_vector_are_scored_once():
+    import pyarrow as pa
+
+    from notelode.operators.vector import _worth
+
+    keys = [f"f{i % 3}" if i % 50 else None for i in range(600)]
+    vectors = [[1.0, i] if i % 200 == 1 else [] if i % 2 else None for i in range(600)]
+    boost = [float(i % 7) for i in range(600)]
+    columns = [pa.array(keys), pa.array(vectors, pa.list_(pa.float64())), pa.array(boost)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["key", "embedding", "boost"])
+    by_file = _worth(batch, 5, True).to_pylist()
+    assert len(by_file) == 3 + 3 and [r["key"] for r in by_file] == sorted((r["key"] for r in by_file), key=[r["key"] for r in by_file].index)
+    assert {r["key"]: r["boost"] for r in by_file if not r["embedding"]} == {"f0": 6.0, "f1": 6.0, "f2": 6.0}
+    first = _worth(batch, 5, False).to_pylist()
+    assert len(first) == 3 + 5 and all(r["boost"] == 6.0 for r in first if not r["embedding"])
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_questions": 4}])
+@pytest.mark.parametrize("files", [3, 400])
+def test_related_files_among_rows_without_vectors_equal_a_plain_loop(spark, files, limits):
+    rng = random.Random(files)
+    rows = [(str(i), f"f{rng.randrange(files)}.md", [float(rng.randrange(-2, 3)) for _ in range(4)] if i % 5 == 0 else []) for i in range(3000)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, file_path string, embedding array<double>").repartition(3)
+    asked = [(f"q{i}", f"f{i}.md", [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(9)]
+    want = []
+    for name, path, q in asked:
+        best = {}
+        for _, file, v in rows:
+            scale = math.sqrt(sum(x * x for x in v)) * math.sqrt(sum(x * x for x in q))
+            score = round(sum(x * y for x, y in zip(v, q)) / scale, 9) if scale else 0.0
+            if file != path:
+                best[file] = max(best.get(file, -2.0), score)
+        want += [(name, file, score) for score, file in sorted((-s, f) for f, s in best.items())[:5]]
+    found = vector.related_files(chunks, spark.createDataFrame(asked, "query_id string, path string, vector array<double>"), 5, **limits)
+    got = [(r["query_id"], r["path"], -round(r["score"], 9) + 0.0) for r in found.orderBy("query_id", "rank").collect()]
+    assert got == [(n, f, s + 0.0) for n, f, s in want]
