@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from notelode.llm import pii
 from notelode.llm.pii import KINDS, personal_data, redact
 
@@ -123,3 +125,16 @@ def test_likeliest_equals_plain_comparison(frame):
         if not any(r == row and o[0] < s[2] and s[0] < o[2] and key(o) > key(s) for r, _, _, o in rows)
     })
     assert got == want
+
+
+def test_training_counts_every_proposal(docs, monkeypatch):
+    """More proposals than the former sample held: all of them reach the trees, as weights."""
+    lines = [f"me{i}@x.org 10.0.{i % 256}.7 +1 (604) 555-{i:04d} 12-{i}-3456 1 . 2 . 3 . {i}" for i in range(5_500)]
+    proposals = pii.judged(pii.candidates(docs([(i, "\n".join(lines[i * 25 : i * 25 + 25])) for i in range(220)]))).cache()
+    side = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4))
+    total, fitted = proposals.count(), proposals.where(side > 0).count()
+    seen = []
+    real = pii.GBTClassifier.fit
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, df: seen.append(df.agg(F.sum("weight")).first()[0]) or real(self, df))
+    assert pii.train(proposals) is not None
+    assert total > 20_000 and seen == [fitted]
