@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ from ..config import Chunking
 from ..functions import frontmatter as fm
 from ..functions import text as T
 from ..functions.markers import strip_blocks
+from ..functions.steps import in_steps
 from ..functions.tags import note_tags
 from ..schema import CHUNK_COLUMNS, CHUNK_TYPES
 
@@ -43,6 +44,11 @@ PLAN_TYPE = (
     "struct<title:string,chunks:array<struct<heading_path:array<string>,"
     "parts:array<struct<overlap:boolean,lines:array<int>>>,tokens:int,chunk_type:string>>>"
 )
+_PART = pa.struct({"overlap": pa.bool_(), "lines": pa.list_(pa.int32())})
+_CHUNK = pa.struct(
+    {"heading_path": pa.list_(pa.string()), "parts": pa.list_(_PART), "tokens": pa.int32(), "chunk_type": pa.string()}
+)
+_PLAN = pa.struct({"title": pa.string(), "chunks": pa.list_(_CHUNK)})
 
 
 def line_kind(line: Column) -> Column:
@@ -215,17 +221,18 @@ def plan_note(
 
 
 def _plan_udf(config: Chunking):
-    @F.pandas_udf(PLAN_TYPE)
-    def plan(
-        kinds: pd.Series, costs: pd.Series, headings: pd.Series, title: pd.Series, fallback: pd.Series
-    ) -> pd.DataFrame:
+    def plans(kinds: pa.Array, costs: pa.Array, headings: pa.Array, title: pa.Array, fallback: pa.Array) -> pa.Array:
         rows = [
-            {"title": f, "chunks": []}
-            if k is None
-            else plan_note(k, list(map(int, c)), list(h), t or "", f, config)
-            for k, c, h, t, f in zip(kinds, costs, headings, title, fallback)
+            {"title": f, "chunks": []} if k is None else plan_note(k, c, h, t or "", f, config)
+            for k, c, h, t, f in zip(*(column.to_pylist() for column in (kinds, costs, headings, title, fallback)))
         ]
-        return pd.DataFrame(rows, columns=["title", "chunks"])
+        return pa.array(rows, _PLAN)
+
+    @F.arrow_udf(PLAN_TYPE)
+    def plan(
+        kinds: pa.Array, costs: pa.Array, headings: pa.Array, title: pa.Array, fallback: pa.Array
+    ) -> pa.Array:
+        return in_steps(plans, [kinds, costs, headings, title, fallback], _PLAN)
 
     return plan
 
