@@ -12,20 +12,22 @@ upper classes first, and then reads only classes that can still reach the k-th s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import pairwise
 from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .lexical import B, K1, idf, question_words
 from .lineage import cut
-from .sizing import few, is_few, salted_join, top_k
+from .sizing import MAX_BROADCAST_KEYS, few, is_few, salted_join, small_rows, top_k
 
 ALL = ""
 IMPACTS = 16
@@ -166,17 +168,185 @@ def _rarest(words: DataFrame, key: str, counts: DataFrame) -> DataFrame:
     return known.where(~F.col("missing")).drop("missing")
 
 
+class _Phrases:
+    """A bounded set of phrases as a trie over the numbers of their terms, and the probe of each."""
+
+    def __init__(self, parts: list[list[str]], probes: list[str]):
+        self.terms = sorted({term for phrase in parts for term in phrase})
+        number = {term: i for i, term in enumerate(self.terms)}
+        self.parts = [[number[term] for term in phrase] for phrase in parts]
+        self.probes = np.array([number[term] for term in probes], dtype=np.int64)
+        edges: dict[int, int] = {}
+        ends = [-1]
+        for i, phrase in enumerate(self.parts):
+            node = 0
+            for code in phrase:
+                key = node * len(self.terms) + code
+                if key not in edges:
+                    edges[key] = len(ends)
+                    ends.append(-1)
+                node = edges[key]
+            ends[node] = i
+        self.keys = np.array(sorted(edges), dtype=np.int64)
+        self.nodes = np.array([edges[key] for key in self.keys.tolist()], dtype=np.int64)
+        self.ends = np.array(ends, dtype=np.int64)
+
+    def found(self, owner: np.ndarray, place: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Owners and phrases, one for each place where a phrase begins, of tokens sorted by owner and place."""
+        joined = np.append((owner[1:] == owner[:-1]) & (place[1:] == place[:-1] + 1), False)
+        first = at = np.arange(len(code))
+        node = np.zeros(len(code), dtype=np.int64)
+        owners, phrases = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(at):
+            key = node * len(self.terms) + code[at]
+            edge = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            held = self.keys[edge] == key
+            first, at, node = first[held], at[held], self.nodes[edge[held]]
+            ended = self.ends[node] >= 0
+            owners.append(owner[first[ended]])
+            phrases.append(self.ends[node[ended]])
+            goes_on = joined[at]
+            first, at, node = first[goes_on], at[goes_on] + 1, node[goes_on]
+        return np.concatenate(owners), np.concatenate(phrases)
+
+    def found_by_counting(self, code: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> dict[int, int]:
+        """Occurrences by phrase in a chunk whose id comes more than once: the places of all its rows count together."""
+        rows, at = Counter(code.tolist()), defaultdict(Counter)
+        for term, place in zip(np.repeat(code, sizes).tolist(), places.tolist()):
+            at[term][place] += 1
+        out = {}
+        for phrase in np.flatnonzero(np.isin(self.probes, code)).tolist():
+            begun: Counter = Counter()
+            for k, term in enumerate(self.parts[phrase]):
+                for place, n in at[term].items():
+                    begun[place - k] += n * rows[int(self.probes[phrase])]
+            tf = sum(n == len(self.parts[phrase]) for n in begun.values())
+            if tf:
+                out[phrase] = tf
+        return out
+
+
+def _by_chunk(phrases: _Phrases) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Postings ``term, chunk_id, positions`` of known terms, those of a chunk within a batch as one row of numbers."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = pa.array(phrases.terms, pa.string())
+        for batch in batches:
+            code = pc.index_in(batch.column(0), value_set=terms.cast(batch.column(0).type))
+            known = pc.and_(pc.is_valid(code), pc.is_valid(batch.column(1)))
+            code, chunk, positions = (column.filter(known) for column in (code, batch.column(1), batch.column(2)))
+            chunk = chunk.dictionary_encode()
+            order = pa.array(np.argsort(chunk.indices.to_numpy(), kind="stable"))
+            positions = positions.take(order)
+            sizes = np.asarray(positions.value_lengths().fill_null(0), dtype=np.int32)
+            ends = np.cumsum(np.bincount(chunk.indices.to_numpy(), minlength=len(chunk.dictionary)))
+            rows = pa.array(np.concatenate(([0], ends)), pa.int32())
+            tokens = pa.array(np.concatenate(([0], np.cumsum(sizes)))[np.asarray(rows)], pa.int32())
+            lists = [
+                pa.ListArray.from_arrays(rows, code.take(order).cast(pa.int32())), pa.ListArray.from_arrays(rows, pa.array(sizes)),
+                pa.ListArray.from_arrays(tokens, positions.flatten()),
+            ]
+            yield pa.RecordBatch.from_arrays([chunk.dictionary, *lists], names=["chunk_id", "codes", "sizes", "places"])
+
+    return pack
+
+
+def _in_chunks(phrases: _Phrases) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``phrase, chunk_id, tf`` of rows that ``_by_chunk`` has made, sorted by chunk."""
+
+    def step(rows: pa.Table, owner: np.ndarray) -> pa.RecordBatch:
+        lists = [rows.column(name).combine_chunks() for name in ("codes", "sizes", "places")]
+        code, sizes, place = (np.asarray(column.flatten(), dtype=np.int64) for column in lists)
+        of_row = np.repeat(owner, np.asarray(lists[0].value_lengths()))
+        of_token = np.repeat(of_row, sizes)
+        order = np.argsort((of_token << 32) + place, kind="stable")
+        held, at = of_token[order], place[order]
+        again = (held[1:] == held[:-1]) & (at[1:] == at[:-1])
+        row_key, times = np.unique(of_row * len(phrases.terms) + code, return_counts=True)
+        copies = np.union1d(held[1:][again], row_key[times > 1] // len(phrases.terms))
+        single = ~np.isin(held, copies)
+        owners, found = phrases.found(held[single], at[single], np.repeat(code, sizes)[order][single])
+        key, tf = np.unique(owners * len(phrases.parts) + found, return_counts=True)
+        owners, found = [key // len(phrases.parts)], [key % len(phrases.parts)]
+        counts = [tf]
+        for copy in copies.tolist():
+            mine = of_row == copy
+            counted = phrases.found_by_counting(code[mine], sizes[mine], place[of_token == copy])
+            owners.append(np.full(len(counted), copy))
+            found.append(np.fromiter(counted, np.int64, len(counted)))
+            counts.append(np.fromiter(counted.values(), np.int64, len(counted)))
+        first = np.searchsorted(owner, np.concatenate(owners))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate(found), pa.int32()), rows.column("chunk_id").combine_chunks().take(pa.array(first)),
+                pa.array(np.concatenate(counts), pa.int64()),
+            ],
+            names=["phrase", "chunk_id", "tf"],
+        )
+
+    def whole(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        ids = rows.column("chunk_id").combine_chunks()
+        begins = np.concatenate(([True], np.asarray(pc.not_equal(ids[1:], ids[:-1]), dtype=bool)))
+        owner = np.cumsum(begins)
+        tokens = np.cumsum(pc.list_value_length(rows.column("places")).to_numpy())
+        slices = (tokens // TOKENS_PER_STEP)[np.flatnonzero(begins)][owner - 1]
+        for at, end in pairwise([0, *(np.flatnonzero(np.diff(slices)) + 1), len(owner)]):
+            yield step(rows.slice(at, end - at), owner[at:end])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # The last chunk of a batch may go on in the next one.
+            ids = batch.column(0)
+            at = batch.num_rows - pc.sum(pc.equal(ids, ids[-1])).as_py()
+            ended = [*held, batch.slice(0, at)]
+            if at or held and held[0].column(0)[0] != ids[-1]:
+                yield from whole(ended)
+                held = []
+            held.append(batch.slice(at))
+        if held:
+            yield from whole(held)
+
+    return match
+
+
+def _few_phrase_hits(index: DataFrame, probed: list[Row]) -> DataFrame:
+    """``parts, chunk_id, tf`` of a bounded set of phrases: the places of a chunk meet once, whatever the phrases."""
+    kind = index.schema["chunk_id"].dataType.simpleString()
+    if not probed:
+        return index.sparkSession.createDataFrame([], f"parts array<string>, chunk_id {kind}, tf bigint")
+    phrases = _Phrases([row["parts"] for row in probed], [row["probe"] for row in probed])
+    packed = index.select("term", "chunk_id", "positions").mapInArrow(
+        _by_chunk(phrases), f"chunk_id {kind}, codes array<int>, sizes array<int>, places array<int>"
+    )
+    sorted_ = packed.repartition("chunk_id").sortWithinPartitions("chunk_id")
+    found = sorted_.mapInArrow(_in_chunks(phrases), f"phrase int, chunk_id {kind}, tf bigint")
+    names = index.sparkSession.createDataFrame(
+        [(i, row["parts"]) for i, row in enumerate(probed)], "phrase int, parts array<string>"
+    )
+    return found.join(F.broadcast(names), "phrase").select("parts", "chunk_id", "tf")
+
+
 def phrase_hits(index: DataFrame, phrases: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """``parts, chunk_id, tf`` of chunks that hold the words of ``parts`` one behind the other.
 
-    Chunks come from the rarest part; there the places of all parts, each less its place in the phrase,
-    meet at the places where the phrase begins. ``counts`` has ``term, df``.
+    A checked, bounded set of phrases travels to the tasks: the places of all their words meet by chunk
+    once and are walked in order. Of larger sets, chunks come from the rarest part; there the places of
+    all parts, each less its place in the phrase, meet at the places where the phrase begins. ``counts``
+    has ``term, df``.
     """
     wanted = phrases.select("parts").distinct()
     terms = wanted.select("parts", F.explode(F.array_distinct("parts")).alias("term"))
     index = _named(index, terms)
     counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if counts is None else counts
     probed = cut(_rarest(terms, "parts", counts))
+    size = F.octet_length(F.array_join("parts", " ")) + 64
+    rows = small_rows(probed.select("parts", "probe"), size, MAX_BROADCAST_KEYS)
+    if rows is not None:
+        return _few_phrase_hits(index, rows)
     near = _met(index.select("term", "chunk_id"), probed.select("parts", F.col("probe").alias("term")))
     pairs = near.select("parts", "chunk_id", F.posexplode("parts").alias("k", "term"))
     met = pairs.join(index.select("term", "chunk_id", "positions"), ["term", "chunk_id"])
